@@ -4,6 +4,7 @@ to the whole intended table and derives the contract's columns."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkwright.llm.shared import read_table
 
@@ -14,7 +15,71 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from sparkwright.llm.token_files import token_table
+
+    return token_table(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_file("byte_bpe_50k.json"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.sharding import shard
+
+    placed = shard(read_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    from sparkwright.llm.pieces import encode_table
+
+    return encode_table(read_table(spark, sf_dir, "documents"), model or tokenizer_file("piece_bpe_32k.model"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.topk import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.html_text import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.quality import fit, judge
+
+    docs = read_table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, read_table(spark, sf_dir, "labels"))).drop("probability")
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.secrets import scan
+
+    found = scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file; the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_source_mixing, op3_token_files, op5_sharding, op6_sentencepiece,
+        op7_exact_top_k, op8_html_extraction, op9_quality_rules, op10_secret_scans,
+    )
+}
 
 #: Where SQL can state the result.
 ORACLES: dict[str, str] = {}
