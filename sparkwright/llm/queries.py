@@ -27,6 +27,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_table(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_file("byte_bpe_50k.json"))
 
 
+#: (verdict, host, path), as the contract of op4 states them.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.urls import fit, judge, labelled_urls
+
+    return judge(read_table(spark, sf_dir, "pages"), URL_RULES, fit(labelled_urls(spark))).drop("margin")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkwright.llm.sharding import shard
 
@@ -76,7 +86,7 @@ def tokenizer_file(name: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_source_mixing, op3_token_files, op5_sharding, op6_sentencepiece,
+        op1_minhash_near_dedup, op2_source_mixing, op3_token_files, op4_url_filters, op5_sharding, op6_sentencepiece,
         op7_exact_top_k, op8_html_extraction, op9_quality_rules, op10_secret_scans,
     )
 }
