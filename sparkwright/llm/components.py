@@ -40,5 +40,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(n, large["u"] == n["node"])
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         at = materialise(small.where("u != v").distinct(), "cc")
-    members = at.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    members = at.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return materialise(members.union(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
+
+
+def extend_components(labels: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """``labels`` (node, component) after more links: components of the contracted
+    links, which are few, then carried over to the nodes."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    contracted = links.select(a, b).join(of(a), a, "left").join(of(b), b, "left")
+    contracted = contracted.select(F.coalesce(f"c_{a}", a).alias("a"), F.coalesce(f"c_{b}", b).alias("b"))
+    top = connected_components(contracted, "a", "b")
+    nodes = labels.union(top.select("node", F.col("node").alias("component"))).distinct()
+    over = top.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return materialise(nodes.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")

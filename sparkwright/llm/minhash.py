@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.components import connected_components
+from sparkwright.llm.components import connected_components, extend_components
 from sparkwright.llm.shared import arrow_map, materialise, mix64, runs, strings
 from sparkwright.llm.wordhash import Words
 
@@ -256,15 +256,14 @@ def near_duplicates(
     active = _mixed(members, labels)
     if not active.isEmpty():
         fresh = materialise(_stars(active, percent, centres, 1).join(tested, ["a", "b"], "left_anti"), "edges")
-        links = materialise(links.union(confirm(fresh, sets, percent)), "links")
         tested = tested.union(fresh)
-        labels = connected_components(links, "a", "b")
+        labels = extend_components(labels, materialise(confirm(fresh, sets, percent), "links"), "a", "b")
         active = _mixed(active, labels)
         if not active.isEmpty():
             rest = materialise(_residual(active, sets, percent).join(tested, ["a", "b"], "left_anti"), "rest")
             more = materialise(confirm(rest, sets, percent), "links")
             if not more.isEmpty():
-                labels = connected_components(links.union(more), "a", "b")
+                labels = extend_components(labels, more, "a", "b")
     component = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     component = materialise(component, "component")
     return (
