@@ -118,9 +118,9 @@ TOKENS = {
     "social": "share social sharing tags tag follow meta byline author toolbar login search form",
 }
 _KIND = {w: i for i, words in enumerate(TOKENS.values()) for w in words.split()}
-_TAGS = ("article", "main", "section", "div", "p", "li", "ul", "nav", "header", "footer", "aside", "form", "h1", "h2", "table", "td", "blockquote", "pre", "figure", "body", "dialog", "details")
+_TAGS = ("article", "main", "section", "div", "p", "li", "ul", "nav", "header", "footer", "aside", "form", "h1", "h2", "table", "td", "blockquote", "pre", "figure", "body", "dialog", "details", "fieldset")
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
-N_FEATURES = len(_TAGS) + 2 * len(TOKENS) + 14
+N_FEATURES = len(_TAGS) + 2 * len(TOKENS) + 15
 
 
 def _tokens(node: Node) -> np.ndarray:
@@ -199,14 +199,14 @@ def elements(root: Node) -> tuple[list[Node], np.ndarray]:
             x[k, at + len(TOKENS) : at + 2 * len(TOKENS)] = np.maximum(x[up[k], at + len(TOKENS) : at + 2 * len(TOKENS)], x[up[k], at : at + len(TOKENS)])
     at += 2 * len(TOKENS)
     parent = np.maximum(up, 0)
-    frames = [("article", "main"), ("nav", "footer", "aside", "form", "header")]
-    inside = np.zeros((n, 2), np.float32)
+    frames = [("article", "main"), ("nav", "footer", "form", "header"), ("aside", "dialog")]
+    inside = np.zeros((n, 3), np.float32)
     for k in range(1, n):
         for f, names in enumerate(frames):
             inside[k, f] = max(inside[up[k], f], nodes[up[k]].tag in names)
     columns = [
         np.log1p(text), np.log1p(own_text), link / np.maximum(text, 1), text / np.maximum(tags + 1, 1), text / total, np.array([v.depth for v in nodes]),
-        siblings[parent], before, siblings, np.log1p(size), text[parent] / total, link[parent] / np.maximum(text[parent], 1), inside[:, 0], inside[:, 1],
+        siblings[parent], before, siblings, np.log1p(size), text[parent] / total, link[parent] / np.maximum(text[parent], 1), inside[:, 0], inside[:, 1], inside[:, 2],
     ]
     x[:, at:] = np.stack(columns, 1)
     return nodes, x
@@ -218,8 +218,14 @@ class Boosted:
     def __init__(self, trees: int = 60, depth: int = 5, rate: float = 0.3, bins: int = 32):
         self.n, self.depth, self.rate, self.bins = trees, depth, rate, bins
 
+    def _cuts(self, values: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Between all values where they are few (rare flags included), else by quantiles."""
+        if len(values) <= self.bins:
+            return (values[1:] + values[:-1]) / 2
+        return np.unique(np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        self.cuts = [self._cuts(np.unique(c), c) for c in x.T]
         b = np.stack([np.searchsorted(c, v, "right") for c, v in zip(self.cuts, x.T, strict=True)], 1)
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))
@@ -266,7 +272,7 @@ class Boosted:
         return self.base + self.values[trees, at - ((1 << self.depth) - 1)].sum(1)
 
 
-def training_pages(count: int = 600, seed: int = 5):
+def training_pages(count: int = 900, seed: int = 5):
     """Pages made from a rule, each with the set of its content elements: marked by
     data-c="1". Layouts vary: with or without semantic tags, class names, sidebars,
     notices, adverts, forms, comments, lists, quotes and tables."""
@@ -281,7 +287,7 @@ def training_pages(count: int = 600, seed: int = 5):
         return "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(n))
 
     def clutter(kind):
-        name = named(kind) if rng.random() < 0.85 else ""
+        name = named(kind) if rng.random() < 0.55 else ""
         body = rng.choice([
             lambda: f"<ul>{links(rng.randint(2, 9))}</ul>", lambda: f"<p>{words(3, 30)}</p>", lambda: words(2, 25), lambda: f"<h3>{words(1, 4)}</h3><p>{words(5, 40)}</p><p><a href=#>{words(1, 3)}</a></p>",
             lambda: f'<a href="/x">{words(2, 9)}</a>', lambda: f"<div><p>{words(8, 60)}</p></div>" * rng.randint(1, 4),
@@ -318,7 +324,7 @@ def training_pages(count: int = 600, seed: int = 5):
         inner = []
         if rng.random() < 0.9:
             inner.append(f"<h1{c}>{words(2, 14)}</h1>" if rng.random() < 0.7 else f"<header{c}><h1{c}>{words(2, 10)}</h1></header>")
-        for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 14, 25])):
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 14, 25])):
             inner.append(content())
             if rng.random() < 0.25:
                 inner.append(clutter(rng.choice(["advert", "social", "side", "comment", "notice"])))
