@@ -10,6 +10,7 @@ in the same way. Within a shard a seeded permutation picks the blocks.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
@@ -76,7 +77,10 @@ def _plan(totals: DataFrame, weights: tuple, share: float, most: int, block: int
     row a source, in code point order with null last."""
 
     def rows(batches):
-        table = pa.Table.from_batches(list(batches)).to_pydict()
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).to_pydict()
         order = sorted(range(len(table["source"])), key=lambda i: (table["source"][i] is None, (table["source"][i] or "").encode()))
         names, sizes = [table["source"][i] for i in order], np.array([table["source_size"][i] for i in order], np.int64)
         w = np.array([weights[i % len(weights)] for i in range(len(names))], float)
@@ -107,7 +111,7 @@ def _plan(totals: DataFrame, weights: tuple, share: float, most: int, block: int
         )
 
     return totals.repartition(1).mapInArrow(
-        lambda batches: rows(batches), "source string, source_size long, target double, blocks long, each long, extra long, last long"
+        rows, "source string, source_size long, target double, blocks long, each long, extra long, last long"
     )
 
 
@@ -117,7 +121,7 @@ class Taker:
     def __init__(self, source: str | None, size: int, blocks: int, each: int, extra: int, last: int, block: int, seed: int):
         self.size, self.blocks, self.each, self.extra, self.last, self.block = size, blocks, each, extra, last, block
         name = b"\0" if source is None else b"\1" + source.encode()
-        self.seed = seed ^ int.from_bytes(__import__("hashlib").blake2b(name, digest_size=7).digest(), "little")
+        self.seed = seed ^ int.from_bytes(hashlib.blake2b(name, digest_size=7).digest(), "little")
 
     def times(self, j: np.ndarray) -> np.ndarray:
         full = self.blocks // SHARD

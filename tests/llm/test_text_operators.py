@@ -1,0 +1,224 @@
+"""Quality rules, secrets, token files, pieces, mixing and sharding against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from sparkwright.llm import mixing, pieces, quality, queries, secrets, sharding, sstable, token_files
+from sparkwright.llm.shared import Feistel
+
+WORD = r"[^\x20\x09-\x0D]+"
+ODD = [(1, "a b\n\na b\n a b"), (2, ""), (3, None), (4, " \n\t "), (5, "x " * 3000), (6, "é ü\u00a0ß # <b> |"), (7, "one two three four five six seven eight nine ten eleven"), (7, "one two three four five six seven eight nine ten eleven"),
+       (None, "no id at all but some words are here and more of them"), (8, "l1 w\nl1 w\nl1 w\n l1 w"), (9, "a b c d e f a b c d e g")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "s", "clash") for i, t in ODD], "doc_id long, text string, source string, n_words string")
+
+
+def test_base_statistics(odd):
+    rows = quality.judge(odd, None).collect()
+    want = []
+    for i, t in ODD:
+        ws = re.findall(WORD, t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(WORD, x)]
+        grams = collections.Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+        inside = {k + j for k in range(len(ws) - 4) if grams[tuple(ws[k : k + 5])] > 1 for j in range(5)}
+        want.append((i, len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(inside), len(ws) < 10 or 100 * len(inside) > 20 * len(ws)))
+    got = [(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all(r["kept"] != r["base_failed"] for r in rows)
+
+
+def test_classifier_on_held_out_labels(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    train = labels.where("doc_id % 3 <> 0")
+    model = quality.fit(docs, train)
+    judged = {r["doc_id"]: r for r in quality.judge(docs, model).collect()}
+    held = [r for r in labels.where("doc_id % 3 = 0").collect() if not judged[r["doc_id"]]["base_failed"]]
+    right = sum((judged[r["doc_id"]]["probability"] >= 0.5) == bool(r["quality"]) for r in held)
+    assert right >= 0.9 * len(held)
+    assert {r["doc_id"] for r in quality.keep_good(docs, model).collect()} == {k for k, r in judged.items() if r["kept"]}
+
+
+def test_no_labels_no_model(spark, odd):
+    assert quality.fit(odd, spark.createDataFrame([], "doc_id long, quality int")) is None
+    assert quality.fit(odd, spark.createDataFrame([(1, 1), (7, 1)], "doc_id long, quality int")) is None
+
+
+def test_secret_spans(spark):
+    texts = {
+        1: 'x password = "abcdefghijkl" y Token:short secret=' + "Z" * 12, 2: "AKIA" + "A" * 14 + " AKIAB1 " + "AKIA" * 5, 3: "deadbeefdeadbeef 0123456789abcde " + "f" * 40, 4: "", 5: None,
+        6: "token: password: abcdefghijklmnop", 7: "é API_KEY:'0123456789abcdef0123'", 8: "PASSWD=" + "a" * 100_000,
+    }
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        spans = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or "") if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 16]
+        assert got[i]["base_spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)), i
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(s[3] == k for s in spans) for k in ("assign", "access", "hex"))
+
+
+def test_weak_parts_count_only_together():
+    value = "Xk3v9Qm2Tz7Lp4Wc8Rn1"
+    whole = f"user: alice host: db.example.com and {value}"
+    assert {s[2] for s in secrets.linked_spans(whole, [])} == {"login", "endpoint", "value"}
+    for part in ("user: alice", "host: db.example.com", value):
+        assert secrets.linked_spans(whole.replace(part, "nothing"), []) == []
+    assert secrets.linked_spans(f"user: alice host: db.example.com {'. ' * 400} {value}", []) == []
+    assert secrets.redacted(f"a {whole} b") == "a [secret] host: db.example.com and [secret] b"
+
+
+def test_redaction_keeps_all_else(spark):
+    df = spark.createDataFrame([(1, "token = abcdefghijklmnop", 24, "k"), (2, "clean", 99, None), (3, None, None, "z")], "doc_id long, text string, n_chars long, start string")
+    got = sorted(map(tuple, secrets.redact(df).collect()))
+    assert got == [(1, "[secret]", 8, "k"), (2, "clean", 99, None), (3, None, None, "z")]
+
+
+def test_token_files_round_trip(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    reference = Tokenizer.from_file(path)
+    extra = spark.createDataFrame([(100, "a  b\n\nc \n d\t\te <|endoftext|> it's  "), (-4, "日本語😀 x1y2\u00a0\u00a0z don't\x1c"), (101, " lead"), (102, "trail ")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(extra)
+    got = token_files.token_table(docs, path).orderBy("start").collect()
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    at, want = 0, []
+    for i, t in rows:
+        ids = [*reference.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert [tuple(r) for r in got] == want
+
+
+def test_sorted_table_lookup():
+    import io
+
+    out = io.BytesIO()
+    table = sstable.Writer(out, 2)
+    rng = random.Random(2)
+    ids = sorted(rng.sample(range(-(10**12), 10**12), 3000))
+    entries = [(sstable.key_of(None), b"nn")] + [(sstable.key_of(i), bytes([abs(i) % 256]) * (2 * (abs(i) % 90))) for i in ids]
+    entries[1500:1500] = [(entries[1499][0], b"again!")]
+    for key, value in entries:
+        table.add(key, value)
+    table.close()
+    raw = out.getvalue()
+    reader = sstable.Reader(lambda at, n: raw[at : at + n], len(raw))
+    assert list(reader) == entries and reader.entries == len(entries) and len(reader.places) > 1
+    for key in [entries[k][0] for k in (0, 1, 16, 17, 1499, 2999, 3001)]:
+        assert reader.get(key) == [v for k, v in entries if k == key]
+    absent = [i for i in range(2000) if i not in set(ids)]
+    assert all(reader.get(sstable.key_of(i)) == [] for i in absent)
+    assert sum(reader.may_have(sstable.key_of(i)) for i in absent) < 60
+    assert [sstable.id_of(k) for k, _ in entries[:3]] == [None, ids[0], ids[1]]
+    with pytest.raises(ValueError):
+        at = len(raw) - sstable.FOOTER.size - 9
+        bad = raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]
+        sstable.Reader(lambda at, n: bad[at : at + n], len(bad))
+
+
+def test_pieces_equal_the_library(spark, odd):
+    import sentencepiece
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    reference = sentencepiece.SentencePieceProcessor(model_file=path)
+    wfst = pieces.model(path)
+    rng = random.Random(4)
+    alphabet = list("abcde ABC   \n\t.,;:!?0123456789éßñ日本語😀'\"()-_/") + ["the", " and", "ing", "▁"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(3000)] + [t for _, t in ODD if t] + ["a" * 3000, " " * 40]
+    for t in texts:
+        ids = wfst.encode(t)
+        assert ids.tolist() == reference.encode(t), repr(t)
+        assert wfst.decode(ids.tolist()) == wfst.decode_fast(ids) == reference.decode(ids.tolist())
+    rows = pieces.encode_table(odd, path, with_ids=True).collect()
+    assert len(rows) == len(ODD) and all(r["round_trip"] for r in rows)
+    assert {r["doc_id"]: r["n_pieces"] for r in rows}[3] == 0
+
+
+def test_apportionment_is_sainte_lague():
+    rng = random.Random(5)
+    for _ in range(60):
+        votes = [rng.choice([0, 1, 5, 5, 9, 100]) for _ in range(rng.randint(1, 8))]
+        caps = [rng.randint(0, 30) for _ in votes]
+        seats = rng.randint(0, 60)
+        want = [0] * len(votes)
+        for _ in range(seats):
+            free = [i for i in range(len(votes)) if votes[i] and want[i] < caps[i]]
+            if not free:
+                break
+            want[max(free, key=lambda i: (votes[i] / (2 * want[i] + 1), -i))] += 1
+        assert mixing.apportion(np.array(votes), seats, np.array(caps)).tolist() == want
+
+
+def test_targets_reshare_the_excess():
+    got = mixing.targets(np.array([100, 10, 1000, 0]), np.array([3.0, 1, 2, 3]), 1.5 * 1110, 2)
+    assert got.tolist() == pytest.approx([200, 20, 1445, 0])
+
+
+def test_mix_meets_targets(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    sizes = {r["doc_id"]: len(re.findall(WORD, r["text"] or "")) for r in docs.collect()}
+    by = collections.defaultdict(lambda: [0, 0, 0.0])
+    for r in rows:
+        assert r["size"] == sizes[r["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"]
+        by[r["source"]][0] += r["size"]
+        by[r["source"]][1] += r["taken"]
+        by[r["source"]][2] = r["target"]
+        assert r["source_size"] is not None
+    assert sum(t for _, _, t in by.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert all(abs(taken - target) <= 24 for _, taken, target in by.values())
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+
+
+def test_mix_of_odd_rows(spark, odd):
+    from pyspark.sql import functions as F
+
+    sourced = odd.withColumn("source", F.when(F.col("doc_id") > 6, F.lit(None)).otherwise(F.col("source")))
+    rows = mixing.mix(sourced).collect()
+    assert len(rows) == len(ODD) and all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert mixing.mix(odd.limit(0)).collect() == []
+    full = mixing.mixed_rows(sourced.withColumn("n_chars", F.length("text").cast("long")), block=64)
+    assert full.columns == [*sourced.columns, "n_chars"]
+    words = collections.Counter(r["doc_id"] for r in full.collect() for _ in re.findall(WORD, r["text"]))
+    want = collections.Counter()
+    for r in mixing.mix(sourced, block=64).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert words == +want
+    assert all(r["n_chars"] == len(r["text"]) for r in full.collect())
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 7, 64, 1000, 4097):
+        assert sorted(Feistel(n, 5)(np.arange(n)).tolist()) == list(range(n))
+    assert Feistel(1000, 5)(np.arange(1000)).tolist() != Feistel(1000, 6)(np.arange(1000)).tolist()
+
+
+def test_shards(spark, odd):
+    rows = sharding.shard(odd, shards=3).collect()
+    assert len(rows) == len(ODD)
+    slots = collections.defaultdict(list)
+    texts = collections.defaultdict(list)
+    for i, t in ODD:
+        texts[i].append(t or "")
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+        assert any(r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode()) for t in texts[r["doc_id"]])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, sharding.shard(odd.repartition(5), shards=3).collect()), key=str)
+    assert sharding.shard(odd.limit(0)).collect() == []
+
+
+def test_sha_of_base_spans(spark, data):
+    rows = queries.QUERIES["op10_secret_scans"](spark, data).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all((r["base_sha256"] == empty) == (r["n_assign"] + r["n_access"] + r["n_hex"] == 0) for r in rows)
