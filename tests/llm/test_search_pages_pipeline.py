@@ -98,6 +98,11 @@ def test_blocks_spaces_and_references():
     assert html_text.main_text(page, html_text.model()) == "A & B\none two three é!\nboldly put"
 
 
+def test_stray_quotes_end_with_their_tag():
+    page = "<article><p title=it's>don't <a href='x>y'>go</a> <b class=\"open\">now</b></p><p a = \"1>2\">end & <i</p></article>"
+    assert html_text.main_text(page, html_text.model()).startswith("don't go now\nend &")
+
+
 def test_odd_pages(spark):
     long = "<article><h1>t</h1>" + "<p>some words of a long article here</p>" * 20_000 + "</article>"
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "<div" * 3000), (5, "u", "<b>" * 3000 + "x"), (6, "u", long), (6, "u", long)]
