@@ -36,6 +36,11 @@ def compare(forms: dict[str, Callable[[], DataFrame]], repeats: int = 7) -> dict
     return {n: timed(f, repeats) for n, f in forms.items()}
 
 
+def plan_of(df: DataFrame, mode: str = "formatted") -> str:
+    """The physical plan as text."""
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
 class Profile:
     """Seconds of named steps in order, the slowest marked."""
 

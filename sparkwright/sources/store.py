@@ -61,6 +61,16 @@ class Warehouse:
         rows = [(n, self.read(n).count()) for n in self.tables()]
         return self.spark.createDataFrame(rows, "table_name string, n_rows long")
 
+    def statistics(self, name: str) -> DataFrame:
+        """column_name, n_values, n_distinct (approximate), with the table's rows and stored bytes; one pass."""
+        df = self.read(name)
+        aggs = [F.count("*").alias("rows")]
+        for i, c in enumerate(df.columns):
+            aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
+        stack = ", ".join(f"'{c}', n{i}, d{i}" for i, c in enumerate(df.columns))
+        out = df.agg(*aggs).selectExpr("rows", f"stack({len(df.columns)}, {stack}) as (column_name, n_values, n_distinct)")
+        return out.withColumn("stored_bytes", F.lit(self.files.size(self._current(name))))
+
     # Reading and writing ------------------------------------------------------
 
     def _current(self, name: str) -> str:

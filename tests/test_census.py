@@ -115,11 +115,26 @@ def test_warehouse_constraints_and_upsert(spark, tmp_path):
     w.upsert("t", spark.createDataFrame([(1, "A")], "k int, v string"), ["k"])
     assert sorted(map(tuple, w.read("t").collect())) == [(1, "A"), (2, "b"), (3, "c")]
     assert w.tables() == ["t"] and w.tables("x%") == []
+    assert {(r["column_name"], r["rows"], r["n_values"]) for r in w.statistics("t").collect()} == {("k", 3, 3), ("v", 3, 3)}
     for bad, kw in [([(None, "x")], {"not_null": ["k"]}), ([(1, "x"), (1, "y")], {"unique": ["k"]}), ([(9, "x")], {"references": [("k", "t", "k")]})]:
         with pytest.raises(ConstraintError):
             w.require(spark.createDataFrame(bad, "k int, v string"), **kw)
 
 
+def test_profile_and_benchmark(spark):
+    from sparkwright.operators.profiling import Profile, compare, plan_of
+
+    df = spark.range(100).selectExpr("id % 3 as k", "id as v")
+    df.createOrReplaceTempView("bench_rows")
+    seconds = compare({"frame": lambda: df.groupBy("k").agg({"v": "sum"}).toDF("k", "s"), "sql": lambda: spark.sql("select k, sum(v) as s from bench_rows group by k")}, repeats=1)
+    assert set(seconds) == {"frame", "sql"}
+    with pytest.raises(ValueError):
+        compare({"a": lambda: df, "b": lambda: df.limit(3)}, repeats=1)
+    profile = Profile()
+    assert profile.step("count", df.count) == 100
+    assert profile.report()[0][3] and "Range" in plan_of(df)
+
+
 def test_rules_ignore_unknown_conditions(spark):
     from pyspark.sql import functions as F
 
