@@ -41,8 +41,7 @@ def query(sql: str | None = None):
     return add
 
 
-POOL = (F.col("o_orderstatus") != "F") & F.col("o_totalprice").between(50000, 250000)
-SQL_POOL = "o_orderstatus <> 'F' AND o_totalprice BETWEEN 50000 AND 250000"
+POOL = "o_orderstatus <> 'F' AND o_totalprice BETWEEN 50000 AND 250000"
 SQL_STAR = "orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"
 
 
@@ -55,14 +54,14 @@ def star(t: Tables) -> DataFrame:
 
 @query(f"""SELECT n_name, o_orderpriority, count(*) AS candidates, round(avg(o_totalprice), 1) AS mean_price, round(avg(c_acctbal), 2) AS mean_balance,
   count(*) FILTER (WHERE o_totalprice >= 200000) AS censored_rows, CASE WHEN count(*) < 30 THEN 'too thin to fund' END AS note
-  FROM {SQL_STAR} WHERE {SQL_POOL} GROUP BY n_name, o_orderpriority""")
+  FROM {SQL_STAR} WHERE {POOL} GROUP BY n_name, o_orderpriority""")
 def allocation(t):
     return serve.allocation(star(t).where(POOL), ["n_name", "o_orderpriority"], {"mean_price": ("o_totalprice", 1), "mean_balance": ("c_acctbal", 2)}, F.col("o_totalprice") >= 200000)
 
 
-@query(f"""SELECT 'eligible pool' AS measure, count(*) AS records FROM orders WHERE {SQL_POOL}
-  UNION ALL SELECT 'of those, urgent', count(*) FROM orders WHERE {SQL_POOL} AND o_orderpriority LIKE '1-%'
-  UNION ALL SELECT 'of those, pending', count(*) FROM orders WHERE {SQL_POOL} AND o_orderstatus = 'P'""")
+@query(f"""SELECT 'eligible pool' AS measure, count(*) AS records FROM orders WHERE {POOL}
+  UNION ALL SELECT 'of those, urgent', count(*) FROM orders WHERE {POOL} AND o_orderpriority LIKE '1-%'
+  UNION ALL SELECT 'of those, pending', count(*) FROM orders WHERE {POOL} AND o_orderstatus = 'P'""")
 def pool_breakdown(t):
     pool = t.orders.where(POOL)
     return relational.labelled_counts([("eligible pool", pool), ("of those, urgent", pool.where(F.col("o_orderpriority").like("1-%"))), ("of those, pending", pool.where("o_orderstatus = 'P'"))])
@@ -124,8 +123,8 @@ def flatten_star(t):
 
 
 SQL_MART = f"""SELECT n_name, o_orderpriority, CAST(count(*) AS INTEGER) AS candidates, round(avg(o_totalprice), 4) AS mean_price, CAST(count(o_totalprice) AS INTEGER) AS price_measured_on,
-  round(avg(c_acctbal), 4) AS mean_balance, CAST(count(c_acctbal) AS INTEGER) AS balance_measured_on, round(100.0 * count(*) / (SELECT count(*) FROM orders WHERE {SQL_POOL}), 4) AS pct_of_eligible_pool,
-  count(*) < 30 AS segment_is_sparse, NOT max(n_name = 'CHINA') AS is_assignable FROM {SQL_STAR} WHERE {SQL_POOL} GROUP BY n_name, o_orderpriority"""
+  round(avg(c_acctbal), 4) AS mean_balance, CAST(count(c_acctbal) AS INTEGER) AS balance_measured_on, round(100.0 * count(*) / (SELECT count(*) FROM orders WHERE {POOL}), 4) AS pct_of_eligible_pool,
+  count(*) < 30 AS segment_is_sparse, NOT max(n_name = 'CHINA') AS is_assignable FROM {SQL_STAR} WHERE {POOL} GROUP BY n_name, o_orderpriority"""
 
 
 def mart(t: Tables) -> DataFrame:
