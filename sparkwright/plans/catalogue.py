@@ -52,11 +52,11 @@ def star(t: Tables) -> DataFrame:
 # Composite queries ------------------------------------------------------------
 
 
-@query(f"""SELECT n_name, o_orderpriority, count(*) AS candidates, round(avg(o_totalprice), 1) AS mean_price, round(avg(c_acctbal), 2) AS mean_balance,
+@query(f"""SELECT n_name, o_orderpriority, count(*) AS candidates, round(avg(o_totalprice), 6) AS mean_price, round(avg(c_acctbal), 6) AS mean_balance,
   count(*) FILTER (WHERE o_totalprice >= 200000) AS censored_rows, CASE WHEN count(*) < 30 THEN 'too thin to fund' END AS note
   FROM {SQL_STAR} WHERE {POOL} GROUP BY n_name, o_orderpriority""")
 def allocation(t):
-    return serve.allocation(star(t).where(POOL), ["n_name", "o_orderpriority"], {"mean_price": ("o_totalprice", 1), "mean_balance": ("c_acctbal", 2)}, F.col("o_totalprice") >= 200000)
+    return serve.allocation(star(t).where(POOL), ["n_name", "o_orderpriority"], {"mean_price": ("o_totalprice", 6), "mean_balance": ("c_acctbal", 6)}, F.col("o_totalprice") >= 200000)
 
 
 @query(f"""SELECT 'eligible pool' AS measure, count(*) AS records FROM orders WHERE {POOL}
@@ -122,8 +122,8 @@ def flatten_star(t):
     return wide.where("r_name = 'ASIA'").select("l_orderkey", "l_linenumber", "c_mktsegment", "n_name", "r_name", "p_type", "l_quantity")
 
 
-SQL_MART = f"""SELECT n_name, o_orderpriority, CAST(count(*) AS INTEGER) AS candidates, round(avg(o_totalprice), 4) AS mean_price, CAST(count(o_totalprice) AS INTEGER) AS price_measured_on,
-  round(avg(c_acctbal), 4) AS mean_balance, CAST(count(c_acctbal) AS INTEGER) AS balance_measured_on, round(100.0 * count(*) / (SELECT count(*) FROM orders WHERE {POOL}), 4) AS pct_of_eligible_pool,
+SQL_MART = f"""SELECT n_name, o_orderpriority, CAST(count(*) AS INTEGER) AS candidates, round(avg(o_totalprice), 6) AS mean_price, CAST(count(o_totalprice) AS INTEGER) AS price_measured_on,
+  round(avg(c_acctbal), 6) AS mean_balance, CAST(count(c_acctbal) AS INTEGER) AS balance_measured_on, round(100.0 * count(*) / (SELECT count(*) FROM orders WHERE {POOL}), 4) AS pct_of_eligible_pool,
   count(*) < 30 AS segment_is_sparse, NOT max(n_name = 'CHINA') AS is_assignable FROM {SQL_STAR} WHERE {POOL} GROUP BY n_name, o_orderpriority"""
 
 
@@ -133,7 +133,7 @@ def mart(t: Tables) -> DataFrame:
 
 @query(SQL_MART)
 def segment_mart(t):
-    return mart(t).withColumns({c: F.round(c, 4) for c in ("mean_price", "mean_balance")})
+    return mart(t).withColumns({c: F.round(c, 6) for c in ("mean_price", "mean_balance")})
 
 
 @query(f"""SELECT CAST(sum(candidates) AS BIGINT) AS pool, CAST(sum(CASE WHEN NOT segment_is_sparse AND is_assignable THEN candidates ELSE 0 END) AS BIGINT) AS actionable,
