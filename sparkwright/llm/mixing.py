@@ -152,15 +152,16 @@ def _placed(docs: DataFrame, weights: tuple, share: float, most: int, block: int
     cells = max(1, -(-int(totals.agg(F.sum("rows")).first()[0] or 0) // CELL))
     plan = materialise(_plan(totals.select("source", "source_size"), weights, share, most, block), "plan")
     h = F.xxhash64("id", F.lit(seed))
-    docs = docs.withColumn("h", h).withColumn("cell", F.pmod("h", F.lit(cells)))
-    sums = docs.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialise(sums.select("source", "cell", F.coalesce(F.sum("cell_size").over(before), F.lit(0)).alias("cell_start")), "cells")
-    lead = starts.alias("c").join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.source", "cell", "cell_start", "source_size", "target", "blocks", "each", "extra", "last")
-    lead = materialise(lead, "lead").withColumnsRenamed({"source": "lead_source", "cell": "lead_cell"})
-    inside = Window.partitionBy("source", "cell").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # A key that is never null: the window and the join then share one partitioning.
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    docs = docs.withColumn("h", h).withColumn("cell", F.pmod("h", F.lit(cells))).withColumn("named", named)
+    sums = docs.groupBy("named", "cell").agg(F.sum("size").alias("cell_size"))
+    before = Window.partitionBy("named").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(sums.select("named", "cell", F.coalesce(F.sum("cell_size").over(before), F.lit(0)).alias("cell_start")), "cells")
+    lead = materialise(starts.join(plan.withColumn("named", named).drop("source"), "named"), "lead")
+    inside = Window.partitionBy("named", "cell").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.join(lead, F.col("source").eqNullSafe(F.col("lead_source")) & (F.col("cell") == F.col("lead_cell"))).withColumn("start", F.col("cell_start") + F.col("inside"))
+    return placed.join(lead, ["named", "cell"]).withColumn("start", F.col("cell_start") + F.col("inside"))
 
 
 _PLAN = ["source", "source_size", "blocks", "each", "extra", "last"]
