@@ -60,11 +60,11 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def runs(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes each; a longer row stands alone."""
+def runs(offsets: np.ndarray, most: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes and ``rows`` rows each; a longer row stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
         yield lo, min(hi, n)
         lo = hi
 
