@@ -220,7 +220,7 @@ def _residual(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, centres: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, centres: int = 2
 ) -> DataFrame:
     """Components of near-duplicate texts.
 
