@@ -17,7 +17,7 @@ _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r'.,;:!?#*$%&|<>"()\-'
 _PIECE = re.compile(rf" ?[{_LETTERS}]+(?=[ \n{_MARKS}]|\Z)| ?[{_MARKS}]+(?=[ \n{_LETTERS}]|\Z)| ?[^ \n]+|\n| ")
 _TWO_SPACES = re.compile(r"\s\s")
 #: Pieces remembered in a process; beyond that it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 
 class PieceEncoder:
