@@ -23,6 +23,9 @@ from sparkwright.llm.wordhash import Words
 
 #: Blocks of a shard, documents of a cell.
 SHARD, CELL = 4096, 8192
+#: Words of a block where none are given: the power of two that is at most this and
+#: at most a ``PART``-th of the source's target.
+LARGEST, PART = 2048, 32
 
 
 def apportion(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -71,8 +74,8 @@ def targets(sizes: np.ndarray, weights: np.ndarray, budget: float, most: float)
     return out
 
 
-def _plan(totals: DataFrame, weights: tuple, share: float, most: int, block: int) -> DataFrame:
-    """source, source_size, target, blocks, and the blocks that each full shard
+def _plan(totals: DataFrame, weights: tuple, share: float, most: int, block: int | None) -> DataFrame:
+    """source, source_size, target, block (words of each), blocks, and the blocks that each full shard
     (``each``, one more in the first ``extra``) and the last, shorter one get. One
     row a source, in code point order with null last."""
 
@@ -85,8 +88,14 @@ def _plan(totals: DataFrame, weights: tuple, share: float, most: int, block: int
         names, sizes = [table["source"][i] for i in order], np.array([table["source_size"][i] for i in order], np.int64)
         w = np.array([weights[i % len(weights)] for i in range(len(names))], float)
         target = targets(sizes, w, share * sizes.sum(), most)
-        blocks = -(-sizes // block)
-        quota = apportion(target, round(target.sum() / block), most * blocks)
+        words = np.full(len(sizes), block or 1, np.int64)
+        if block is None:
+            words <<= np.log2(np.clip(target / PART, 1, LARGEST)).astype(np.int64)
+        blocks = -(-sizes // words)
+        # Seats of the smallest block; a source with larger blocks has its seats' words in those.
+        seat = int(words.min())
+        seats = apportion(target, round(target.sum() / seat), most * -(-sizes // seat))
+        quota = np.minimum((2 * seats * seat + words) // (2 * words), most * blocks)
         each, extra, last = [], [], []
         for n, q in zip(blocks.tolist(), quota.tolist(), strict=True):
             full, short = divmod(n, SHARD)
@@ -106,19 +115,19 @@ def _plan(totals: DataFrame, weights: tuple, share: float, most: int, block: int
             extra.append(q - a * full - c)
             last.append(c)
         yield pa.RecordBatch.from_pydict(
-            {"source": names, "source_size": sizes, "target": target, "blocks": blocks, "each": each, "extra": extra, "last": last},
-            schema=pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), *((c, pa.int64()) for c in ("blocks", "each", "extra", "last"))]),
+            {"source": names, "source_size": sizes, "target": target, "block": words, "blocks": blocks, "each": each, "extra": extra, "last": last},
+            schema=pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), *((c, pa.int64()) for c in ("block", "blocks", "each", "extra", "last"))]),
         )
 
     return totals.repartition(1).mapInArrow(
-        rows, "source string, source_size long, target double, blocks long, each long, extra long, last long"
+        rows, "source string, source_size long, target double, block long, blocks long, each long, extra long, last long"
     )
 
 
 class Taker:
     """How often each block of a source is taken, from its row of the plan."""
 
-    def __init__(self, source: str | None, size: int, blocks: int, each: int, extra: int, last: int, block: int, seed: int):
+    def __init__(self, source: str | None, size: int, block: int, blocks: int, each: int, extra: int, last: int, seed: int):
         self.size, self.blocks, self.each, self.extra, self.last, self.block = size, blocks, each, extra, last, block
         name = b"\0" if source is None else b"\1" + source.encode()
         self.seed = seed ^ int.from_bytes(hashlib.blake2b(name, digest_size=7).digest(), "little")
@@ -145,7 +154,7 @@ class Taker:
         return np.maximum(j * self.block - start, 0), np.minimum((j + 1) * self.block - start, size), self.times(j)
 
 
-def _placed(docs: DataFrame, weights: tuple, share: float, most: int, block: int, seed: int) -> DataFrame:
+def _placed(docs: DataFrame, weights: tuple, share: float, most: int, block: int | None, seed: int) -> DataFrame:
     """``docs`` (with id, size, source) with their place on the axis of their
     source and the source's plan."""
     totals = materialise(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "totals")
@@ -164,10 +173,10 @@ def _placed(docs: DataFrame, weights: tuple, share: float, most: int, block: int
     return placed.join(lead, ["named", "cell"]).withColumn("start", F.col("cell_start") + F.col("inside"))
 
 
-_PLAN = ["source", "source_size", "blocks", "each", "extra", "last"]
+_PLAN = ["source", "source_size", "block", "blocks", "each", "extra", "last"]
 
 
-def _takers(batch: pa.RecordBatch, block: int, seed: int):
+def _takers(batch: pa.RecordBatch, seed: int):
     """For each source in a batch its taker and the batch's rows."""
     get = lambda name: batch.column(batch.schema.get_field_index(name))
     groups: dict = {}
@@ -175,7 +184,7 @@ def _takers(batch: pa.RecordBatch, block: int, seed: int):
         groups.setdefault(s, []).append(i)
     for source, at in groups.items():
         row = [get(c)[at[0]].as_py() for c in _PLAN[1:]]
-        yield Taker(source, *row, block, seed), at
+        yield Taker(source, *row, seed), at
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -191,7 +200,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
 
 
 def mix(
-    docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 8, seed: int = 11,
+    docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, block: int | None = 8, seed: int = 11,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """Per row: id_col, size, source_size, target, taken, source.
@@ -199,17 +208,19 @@ def mix(
     Sources in code point order, null last, take the weights in turn. A null text
     has size 0 and is not taken; a null source is a source like any other; rows
     that repeat an id are documents of their own; an empty table gives an empty
-    result. Each source's taken words are within about ``block`` of its target."""
+    result. Each source's taken words are within about ``block`` of its target; where
+    that is None, a source has blocks of at most a ``PART``-th of its target."""
     sized = materialise(word_counts(docs, id_col, text_col, source_col), "sizes")
 
     def rows(batch: pa.RecordBatch):
         get = lambda name: batch.column(batch.schema.get_field_index(name))
         start, size = get("start").to_numpy(), get("size").to_numpy()
         taken = np.zeros(batch.num_rows, np.int64)
-        for taker, at in _takers(batch, block, seed):
+        for taker, at in _takers(batch, seed):
             at = np.array([i for i in at if size[i]], np.int64)
             if not len(at):
                 continue
+            block = taker.block
             first, last = start[at] // block, (start[at] + size[at] - 1) // block
             n = last - first + 1
             row = np.repeat(np.arange(len(at)), n)
@@ -224,13 +235,13 @@ def mix(
 
 
 def mixed_rows(
-    docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 2048, seed: int = 11,
+    docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, block: int | None = None, seed: int = 11,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars",
 ) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time that words
     of a document are taken. A row whose words are all taken has its text unchanged;
     otherwise the text runs over the words taken, stretch by stretch, a line feed
-    between stretches, and ``length_col`` counts its code points."""
+    between stretches, and ``length_col`` counts its code points. ``block`` as in ``mix``."""
     names = docs.columns
     at_text = names.index(text_col)
     length = names.index(length_col) if length_col in names else None
@@ -252,7 +263,7 @@ def mixed_rows(
         start, size = get("start").to_numpy(), get("size").to_numpy()
         picked, texts = [], []
         column = get(f"c{at_text}")
-        for taker, at in _takers(batch, block, seed):
+        for taker, at in _takers(batch, seed):
             for i in at:
                 if not size[i]:
                     continue

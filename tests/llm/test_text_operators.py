@@ -197,6 +197,18 @@ def test_mix_of_odd_rows(spark, odd):
     assert all(r["n_chars"] == len(r["text"]) for r in full.collect())
 
 
+def test_mixed_rows_reach_small_sources(spark):
+    sizes = {"big0": 20_000, "big1": 20_000} | {f"s{k:03}": 400 for k in range(60)} | {f"t{k}": k + 1 for k in range(9)}
+    rows = [(k, " ".join(f"w{j}" for j in range(n)), s) for k, (s, n) in enumerate(sizes.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = collections.Counter()
+    for r in mixing.mixed_rows(docs).collect():
+        taken[r["source"]] += len(r["text"].split())
+    target = {r["source"]: r["target"] for r in mixing.mix(docs, block=None).collect()}
+    assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert all(abs(taken[s] - t) <= 1 + 2 * t / mixing.PART for s, t in target.items()), {s: (taken[s], t) for s, t in target.items()}
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
         assert sorted(Feistel(n, 5)(np.arange(n)).tolist()) == list(range(n))
