@@ -32,6 +32,10 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 LOGIN = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.I | re.A)
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:(?:https?|ftp|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?:host|server|endpoint)\x20*[:=]\x20*[A-Za-z0-9.-]{4,})", re.I | re.A)
 VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A value of any length that its label names a secret; group 1, 2 or 3 is the value.
+LABELLED = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*(?:"([^"\n]+)|'([^'\n]+)|([^\s"'<>,;&]+))""", re.I | re.A)
+#: User and password of a connection string.
+USERINFO = re.compile(r"://([^\s\"'<>/?#:@]*):([^\s\"'<>/?#]+)@")
 #: Code points around a candidate within which its complements must lie.
 SCOPE = 200
 #: Bits a character that a value must reach, with digits and letters in it.
@@ -62,18 +66,37 @@ def _secret_like(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and _entropy(value) >= LEAST_ENTROPY
 
 
+def _outside(found: list[tuple[int, int, str]], spans: list) -> list[tuple[int, int, str]]:
+    """Those of ``found`` that lie within none of ``spans``."""
+    starts, tops = [], []
+    for s in sorted(s[:2] for s in spans):
+        starts.append(s[0])
+        tops.append(max(s[1], tops[-1]) if tops else s[1])
+    return [f for f in found if not (k := bisect.bisect_right(starts, f[0])) or tops[k - 1] < f[1]]
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak candidates whose scope meets a candidate of both other parts. Base
-    spans serve as parts too: access keys as identifiers, assignments as secrets."""
+    spans serve as parts too: access keys as identifiers, assignments as secrets.
+    Secrets are secret-like values, labelled values of any length, and passwords in
+    connection strings."""
     logins = [(m.start(), m.end(), "login") for m in LOGIN.finditer(text)]
     logins += [s for s in base if s[2] == "access"]
+    strings = list(USERINFO.finditer(text)) if "://" in text else []
+    logins += _outside([(*m.span(1), "login") for m in strings if m[1]], base)
     if not logins:
         return []
     ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
     if not ends:
         return []
-    covered = sorted((s[0], s[1]) for s in base)
-    values = [s for s in base if s[2] in ("assign", "hex")]
+    named = [(*m.span(2), "value") for m in strings]
+    if _WORDS.search(text):
+        # A label inside a connection string's user and password is none.
+        found = {m.start(): m.end() for m in LABELLED.finditer(text)}
+        named += [(a, found[a], "value") for a, _ in _outside([(a, a + 1) for a in found], [(m.start(1), m.end(2)) for m in strings])]
+    named = _outside(named, base)
+    covered = sorted((s[0], s[1]) for s in base + named)
+    values = [s for s in base if s[2] in ("assign", "hex")] + named
     for m in VALUE.finditer(text):
         k = bisect.bisect_left(covered, (m.end(),)) - 1
         if (k < 0 or covered[k][1] <= m.start()) and _secret_like(m.group()):

@@ -76,6 +76,18 @@ def test_weak_parts_count_only_together():
     assert secrets.redacted(f"a {whole} b") == "a [secret] host: db.example.com and [secret] b"
 
 
+def test_short_and_inline_secrets_count_when_linked():
+    whole = "user = admin\npassword = hunter2!x\nhost = db.internal.net"
+    assert sorted(s[2] for s in secrets.linked_spans(whole, [])) == ["endpoint", "login", "value"]
+    assert secrets.redacted(whole) == "[secret]\n[secret]\nhost = db.internal.net"
+    assert secrets.redacted("password = hunter2!x and no more") == "password = hunter2!x and no more"
+    assert secrets.redacted("see postgres://bob:p@w1@db/x now") == "see postgres://[secret]:[secret]@db/x now"
+    assert secrets.redacted("https://token:abc@db.example.com/") == "https://[secret]:[secret]@db.example.com/"
+    assert secrets.redacted("http://example.com:8080/a@b http://c.org/") == "http://example.com:8080/a@b http://c.org/"
+    long = "user: alice host: db.example.com password: abcdefghijkl!x"
+    assert secrets.redacted(long) == "[secret] host: db.example.com [secret]"
+
+
 def test_redaction_keeps_all_else(spark):
     df = spark.createDataFrame([(1, "token = abcdefghijklmnop", 24, "k"), (2, "clean", 99, None), (3, None, None, "z")], "doc_id long, text string, n_chars long, start string")
     got = sorted(map(tuple, secrets.redact(df).collect()))
