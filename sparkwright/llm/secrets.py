@@ -3,14 +3,16 @@
 Base kinds (assign, access, hex) are single patterns with a least length. Beyond
 them, three weak kinds of candidate - an access identifier (user, login, client
 or account id), an endpoint (URL or host) and a secret-like value - are reported
-only together: an interval join inside scopes of each text keeps a candidate when
-candidates of the two complementary kinds overlap its scope.
+only together: an interval join inside scopes of each text keeps an identifier and
+a secret that lie in each other's scope. A login and a value without a label need
+an endpoint in scope too; an access key, or a label that names the secret, does not.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,10 +32,11 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: Parts of multipart credentials.
 LOGIN = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.I | re.A)
+KEY_ID = re.compile(r"""(?<![A-Za-z0-9_])(?:aws_)?access[_\x20-]?key[_\x20-]?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,128})""", re.I | re.A)
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:(?:https?|ftp|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?:host|server|endpoint)\x20*[:=]\x20*[A-Za-z0-9.-]{4,})", re.I | re.A)
 VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 #: A value of any length that its label names a secret; group 1, 2 or 3 is the value.
-LABELLED = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*(?:"([^"\n]+)|'([^'\n]+)|([^\s"'<>,;&]+))""", re.I | re.A)
+LABELLED = re.compile(r"""(?:password|passwd|secret(?:[_\x20-]?access)?(?:[_\x20-]?key)?|token|api_?key)["']?\x20*[:=]\x20*(?:"([^"\n]+)|'([^'\n]+)|([^\s"'<>,;&]+))""", re.I | re.A)
 #: User and password of a connection string.
 USERINFO = re.compile(r"://([^\s\"'<>/?#:@]*):([^\s\"'<>/?#]+)@")
 #: Code points around a candidate within which its complements must lie.
@@ -75,56 +78,59 @@ def _outside(found: list[tuple[int, int, str]], spans: list) -> list[tuple[int,
     return [f for f in found if not (k := bisect.bisect_right(starts, f[0])) or tops[k - 1] < f[1]]
 
 
+class _Part:
+    """Spans of one part; running maxima of ends make the overlap test one binary search."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        spans = sorted(spans)
+        self.starts = [s[0] for s in spans]
+        self.tops = list(itertools.accumulate((s[1] for s in spans), max))
+
+    def meets(self, span: tuple[int, int, str]) -> bool:
+        k = bisect.bisect_left(self.starts, span[1] + SCOPE)
+        return k > 0 and self.tops[k - 1] > span[0] - SCOPE
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak candidates whose scope meets a candidate of both other parts. Base
-    spans serve as parts too: access keys as identifiers, assignments as secrets.
-    Secrets are secret-like values, labelled values of any length, and passwords in
-    connection strings."""
-    logins = [(m.start(), m.end(), "login") for m in LOGIN.finditer(text)]
-    logins += [s for s in base if s[2] == "access"]
+    """Weak candidates that are linked. Base spans serve as parts too: access keys as
+    identifiers, assignments and runs of hex as secrets. Secrets are secret-like
+    values, labelled values of any length, and passwords in connection strings.
+
+    An identifier and a secret in scope of each other are linked if the identifier
+    is an access key, the secret has a label (or is a connection string's), or an
+    endpoint is in scope; an endpoint is linked with both in scope. A connection
+    string's password is linked by the string itself."""
     strings = list(USERINFO.finditer(text)) if "://" in text else []
+    keys = [s for s in base if s[2] == "access"] + [(m.start(), m.end(), "login") for m in KEY_ID.finditer(text)]
+    logins = [(m.start(), m.end(), "login") for m in LOGIN.finditer(text)]
     logins += _outside([(*m.span(1), "login") for m in strings if m[1]], base)
-    if not logins:
-        return []
-    ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
-    if not ends:
+    if not keys and not logins and not strings:
         return []
-    named = [(*m.span(2), "value") for m in strings]
+    inline = _outside([(*m.span(2), "value") for m in strings], base)
+    named = list(inline)
     if _WORDS.search(text):
         # A label inside a connection string's user and password is none.
         found = {m.start(): m.end() for m in LABELLED.finditer(text)}
-        named += [(a, found[a], "value") for a, _ in _outside([(a, a + 1) for a in found], [(m.start(1), m.end(2)) for m in strings])]
-    named = _outside(named, base)
+        found = [(a, found[a], "value") for a, _ in _outside([(a, a + 1) for a in found], [(m.start(1), m.end(2)) for m in strings])]
+        named += _outside(found, base)
     covered = sorted((s[0], s[1]) for s in base + named)
-    values = [s for s in base if s[2] in ("assign", "hex")] + named
+    bare = []
     for m in VALUE.finditer(text):
         k = bisect.bisect_left(covered, (m.end(),)) - 1
         if (k < 0 or covered[k][1] <= m.start()) and _secret_like(m.group()):
-            values.append((m.start(), m.end(), "value"))
-    parts = [sorted(logins), sorted(ends), sorted(values)]
-    if not parts[2]:
+            bare.append((m.start(), m.end(), "value"))
+    labels = named + [s for s in base if s[2] == "assign"]
+    values = labels + bare + [s for s in base if s[2] == "hex"]
+    if not values:
         return []
-    # Running maxima of ends make the overlap test one binary search a part.
-    starts = [[s[0] for s in p] for p in parts]
-    tops: list[list[int]] = []
-    for p in parts:
-        top, run = [], -1
-        for s in p:
-            run = max(run, s[1])
-            top.append(run)
-        tops.append(top)
-
-    def meets(part: int, lo: int, hi: int) -> bool:
-        k = bisect.bisect_left(starts[part], hi)
-        return k > 0 and tops[part][k - 1] > lo
-
-    base_kinds = KINDS[:3]
-    return [
-        s
-        for i, p in enumerate(parts)
-        for s in p
-        if s[2] not in base_kinds and all(meets(j, s[0] - SCOPE, s[1] + SCOPE) for j in range(3) if j != i)
-    ]
+    ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+    key, who, end, label, value = (_Part(p) for p in (keys, keys + logins, ends, labels, values))
+    out = {s for s in keys if s[2] == "login" and value.meets(s)}
+    out |= {s for s in logins if label.meets(s) or (value.meets(s) and end.meets(s))}
+    out |= {s for s in named if who.meets(s)} | set(inline)
+    out |= {s for s in bare if key.meets(s) or (who.meets(s) and end.meets(s))}
+    out |= {s for s in ends if who.meets(s) and value.meets(s)}
+    return sorted(out)
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
