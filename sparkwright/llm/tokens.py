@@ -5,7 +5,8 @@ The tokenizer cuts a text by a fixed pattern before it merges anything, so a tex
 may be encoded piece by piece where the pattern is bound to cut: before a space or
 line feed that stands alone, and between letters and ASCII punctuation. Pieces
 repeat a great deal; each process keeps the ids of those it has met. A text with
-two white-space characters in a row is encoded as a whole."""
+two white-space characters in a row, or with the content of an added token (which
+the tokenizer finds before it cuts), is encoded as a whole."""
 
 from __future__ import annotations
 
@@ -31,6 +32,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
@@ -38,7 +40,7 @@ class PieceEncoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in batch(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _TWO_SPACES.search(t) else _PIECE.findall(t) for t in texts]
+        cut = [[t] if _TWO_SPACES.search(t) or any(a in t for a in self.added) else _PIECE.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known

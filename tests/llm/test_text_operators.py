@@ -123,6 +123,19 @@ def test_token_files_round_trip(spark, odd, tmp_path):
     assert [tuple(r) for r in got] == want
 
 
+def test_added_tokens_without_double_spaces():
+    from tokenizers import Tokenizer
+
+    from sparkwright.llm.tokens import PieceEncoder
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    reference, encoder = Tokenizer.from_file(path), PieceEncoder(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a <|endoftext| > b", "plain text, once more"]
+    want = [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == want
+    assert sum(50256 in ids for ids in want) == 3
+
+
 def test_sorted_table_lookup():
     import io
 
