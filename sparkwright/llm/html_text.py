@@ -1,6 +1,7 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes.
 
-A page is parsed into a tree (tag soup allowed). Each element gets features of its
+A page is parsed into a tree (tag soup allowed). Runs of text and inline elements
+right under the scaffolding (root, html, body) become anonymous blocks. Each element gets features of its
 tag, attribute tokens, depth, siblings and subtree (text, link and tag density),
 and boosted regression trees score it as content or boilerplate. Decoding is
 hierarchical: one pass from the leaves up finds the labelling of the whole tree
@@ -30,8 +31,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul #run".split()
 )
+SCAFFOLD = ("#root", "html", "body")
 #: Elements that never hold page text.
 SILENT = frozenset("script style head title noscript template svg math iframe object embed applet noembed noframes select option textarea button input datalist canvas audio video map".split())
 #: A start tag of the key closes an open element of the value.
@@ -103,9 +105,65 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.parent is not None:
                 here = up.parent
+    _wrap_runs(root)
     return root
 
 
+def _wrap_runs(root: Node) -> None:
+    """Put each run of inline content right under the scaffolding into a block of its
+    own (``#run``, with the attributes of its elements). An inline element with blocks
+    in it is scaffolding too."""
+    holders: set[int] = set()
+    scaffold, stack = [], [(root, True)]
+    while stack:
+        node, bare = stack.pop()
+        if node.tag in SILENT:
+            continue
+        bare = bare and (node.tag in SCAFFOLD or node.tag not in BLOCK)
+        if bare:
+            scaffold.append(node)
+        if node.tag in BLOCK:
+            up = node.parent
+            while up is not None and id(up) not in holders:
+                holders.add(id(up))
+                up = up.parent
+        stack.extend((c, bare) for c in node.children if isinstance(c, Node))
+    for node in scaffold:
+        if node.tag not in SCAFFOLD and id(node) not in holders:
+            continue
+        out: list[Node | str] = []
+        run: list[Node | str] = []
+        for c in [*node.children, None]:
+            if isinstance(c, str) or c is not None and (c.tag in SILENT or c.tag not in BLOCK and id(c) not in holders):
+                run.append(c)
+                continue
+            if any(_has_text(x) for x in run):
+                block = Node("#run", " ".join(x.attrs for x in run if isinstance(x, Node)), node)
+                block.children = run
+                for x in run:
+                    if isinstance(x, Node):
+                        x.parent = block
+                out.append(block)
+            else:
+                out += run
+            run = []
+            if c is not None:
+                out.append(c)
+        node.children = out
+
+
+def _has_text(item: Node | str) -> bool:
+    todo = [item]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x.strip():
+                return True
+        elif x.tag not in SILENT:
+            todo += x.children
+    return False
+
+
 #: Attribute tokens with a meaning of their own, by the kind of part they name.
 TOKENS = {
     "content": "article content entry post story main body text page prose copy",
@@ -118,7 +176,7 @@ TOKENS = {
     "social": "share social sharing tags tag follow meta byline author toolbar login search form",
 }
 _KIND = {w: i for i, words in enumerate(TOKENS.values()) for w in words.split()}
-_TAGS = ("article", "main", "section", "div", "p", "li", "ul", "nav", "header", "footer", "aside", "form", "h1", "h2", "table", "td", "blockquote", "pre", "figure", "body", "dialog", "details", "fieldset")
+_TAGS = ("article", "main", "section", "div", "p", "li", "ul", "nav", "header", "footer", "aside", "form", "h1", "h2", "table", "td", "blockquote", "pre", "figure", "body", "dialog", "details", "fieldset", "#run")
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
 N_FEATURES = len(_TAGS) + 2 * len(TOKENS) + 15
 
@@ -272,10 +330,11 @@ class Boosted:
         return self.base + self.values[trees, at - ((1 << self.depth) - 1)].sum(1)
 
 
-def training_pages(count: int = 900, seed: int = 5):
+def training_pages(count: int = 1200, seed: int = 5):
     """Pages made from a rule, each with the set of its content elements: marked by
     data-c="1". Layouts vary: with or without semantic tags, class names, sidebars,
-    notices, adverts, forms, comments, lists, quotes and tables."""
+    notices, adverts, forms, comments, lists, quotes and tables; some have bare text
+    right under the body, as the article or as clutter beside it."""
     rng = random.Random(seed)
     syllables = "ba ke li mo nu ra se ti vo wa en er on st".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
@@ -303,10 +362,18 @@ def training_pages(count: int = 900, seed: int = 5):
             name = named(kind)
         return f"<{tag}{name}>{body}</{tag}>"
 
+    def sentence():
+        """Words with links or emphasis among them."""
+        inner = lambda: rng.choice([f'<a href="/{word()}">{words(1, 3)}</a>', f"<b>{words(1, 3)}</b>", f"<i>{words(1, 3)}</i>"])
+        most = rng.choice([3, 12, 40])
+        return "".join(f"{words(1, most)} {inner()} " for _ in range(rng.choice([1, 1, 2, 3]))) + words(1, most)
+
     def content():
         r = rng.random()
-        if r < 0.7:
+        if r < 0.55:
             return f"<p{c}>{words(1, 90)}</p>"
+        if r < 0.7:
+            return f"<p{c}>{sentence()}</p>"
         if r < 0.78:
             return f"<h2{c}>{words(1, 8)}</h2>"
         if r < 0.86:
@@ -319,8 +386,31 @@ def training_pages(count: int = 900, seed: int = 5):
             return f"<pre{c}>{words(2, 30)}</pre>"
         return f"<section{c}><h2{c}>{words(1, 6)}</h2><p{c}>{words(5, 60)}</p><div{c}><p{c}>{words(3, 40)}</p></div></section>"
 
+    def bare():
+        """Text for an article without a wrapper; the label is in an element without text."""
+        marked = [lambda: words(1, 12), lambda: words(8, 70), sentence, sentence]
+        return f"<template{c}></template>" + rng.choice(["<br>", "<br><br>\n", " "]).join(rng.choice(marked)() for _ in range(rng.choice([1, 1, 2, 3, 6])))
+
+    def stray():
+        """Clutter without a block."""
+        return rng.choice([
+            lambda: rng.choice([" | ", " ", "<br>"]).join(f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(rng.randint(1, 9))),
+            lambda: f'<span{named(rng.choice(kinds))}>{words(1, 12)}</span>', lambda: f'{rng.choice(["&copy;", "(c)"])} <a href="/">{words(1, 3)}</a>', lambda: f'<a{named("navigation")} href="#c">{words(1, 4)}</a>',
+        ])()
+
     kinds = list(TOKENS)[1:]
     for _ in range(count):
+        if rng.random() < 0.3:
+            parts = [f"<h1{c}>{words(1, 14)}</h1>"] * (rng.random() < 0.7)
+            for _ in range(rng.choice([1, 1, 2, 3, 5, 9])):
+                parts.append(bare())
+                parts += [content() for _ in range(rng.choice([0, 1, 1, 2]))] or [f"<hr{c}>"]
+            # Blocks keep stray text from joining the article's.
+            before = [rng.choice([lambda: clutter(rng.choice(kinds)), lambda: stray() + clutter(rng.choice(kinds))])() for _ in range(rng.choice([0, 0, 0, 1, 2]))]
+            after = [rng.choice([lambda: clutter(rng.choice(kinds)), lambda: f"<hr>{stray()}"])() for _ in range(rng.choice([0, 0, 0, 1, 2]))]
+            page = f"{''.join(before)}{''.join(parts)}{''.join(after)}"
+            yield page if rng.random() < 0.3 else f"<html{c}><head><title>{words(1, 9)}</title></head><body{c}>{page}</body></html>"
+            continue
         inner = []
         if rng.random() < 0.9:
             inner.append(f"<h1{c}>{words(2, 14)}</h1>" if rng.random() < 0.7 else f"<header{c}><h1{c}>{words(2, 10)}</h1></header>")
@@ -337,8 +427,8 @@ def training_pages(count: int = 900, seed: int = 5):
             outer = rng.choice(["div", "main", "div"])
             around = [clutter(rng.choice(kinds)) for _ in range(rng.choice([0, 0, 1, 2]))]
             body = f'<{outer}{c} class="{rng.choice(["wrap", "container", "row", "content", "layout", "page"])}">' + "".join(around[:1]) + body + "".join(around[1:]) + f"</{outer}>"
-        before = [clutter(rng.choice(kinds)) for _ in range(rng.randint(0, 4))]
-        after = [clutter(rng.choice(kinds)) for _ in range(rng.randint(0, 4))]
+        before = [clutter(rng.choice(kinds)) if rng.random() < 0.8 else stray() for _ in range(rng.randint(0, 4))]
+        after = [clutter(rng.choice(kinds)) if rng.random() < 0.8 else stray() for _ in range(rng.randint(0, 4))]
         yield f"<html{c}><head><title>{words(1, 9)}</title></head><body{c}>{''.join(before)}{body}{''.join(after)}</body></html>"
 
 
@@ -363,7 +453,7 @@ def choose(nodes: list[Node], scores: np.ndarray) -> np.ndarray:
         while p is not None and p.index < 0:
             p = p.parent
         up[v.index] = p.index if p is not None else -1
-    best = np.where([v.tag in ("#root", "html", "body") for v in nodes], 0.0, scores)
+    best = np.where([v.tag in SCAFFOLD for v in nodes], 0.0, scores)
     for k in range(n - 1, 0, -1):
         best[up[k]] += max(best[k], 0)
     keep = np.zeros(n, bool)
@@ -414,10 +504,6 @@ def main_text(page: str, boosted: Boosted) -> str:
     root = parse(page)
     nodes, x = elements(root)
     keep = choose(nodes, boosted.score(x))
-    # Text right under the scaffolding belongs to no chosen part.
-    for v in nodes:
-        if v.tag in ("#root", "html", "body"):
-            v.children = [c for c in v.children if isinstance(c, Node)] if len(nodes) > 1 and any(k for k, w in zip(keep, nodes, strict=True) if w.tag not in ("#root", "html", "body")) else v.children
     return _render(root, keep)
 
 

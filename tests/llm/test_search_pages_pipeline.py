@@ -84,6 +84,22 @@ def test_extraction_on_held_out_pages():
     assert right >= 0.9 * total
 
 
+def test_bare_text_under_the_scaffolding():
+    model = html_text.model()
+    assert html_text.main_text("<body><h1>T</h1>First part.<br>Second part.<p>Third.</p></body>", model) == "T\nFirst part. Second part.\nThird."
+    assert html_text.main_text("<h1>News of the day</h1>Some <b>bold</b> words and <a href=/x>a link</a> in a sentence.<p>More of it here.</p>", model) == "News of the day\nSome bold words and a link in a sentence.\nMore of it here."
+    right = total = 0
+    for page in html_text.training_pages(300, seed=78):
+        nodes, x = html_text.elements(html_text.parse(page))
+        keep = html_text.choose(nodes, model.score(x))
+        runs = [v for v in nodes if v.tag == "#run"]
+        total += len(runs)
+        right += sum(bool(keep[v.index]) == ("data-c=" in v.attrs) for v in runs)
+    assert total > 200 and right >= 0.9 * total, (right, total)
+    article = "<article><h1>Title</h1>" + "<p>some words of an article that goes on for a while</p>" * 5 + "</article>"
+    assert "Home" not in html_text.main_text(f"<body><a href=/>Home</a> | <a href=/b>Blog</a>{article}</body>", model)
+
+
 def test_labelling_never_contradicts_itself():
     nodes, x = html_text.elements(html_text.parse("<body><div><p>a</p><div><p>b</p></div></div><p>c</p></body>"))
     rng = np.random.default_rng(0)
