@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm import sstable
-from sparkwright.llm.shared import arrow_map, materialise, shared_folder
+from sparkwright.llm import sstable, tiles
+from sparkwright.llm.shared import arrow_map, materialise, runs, shared_folder, strings
 from sparkwright.llm.tokens import encoder
 
 
@@ -27,15 +27,22 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """Encode every whole text, append ``end_id``, and write one file a range of
-    ids under ``folder``. Returns the manifest: part (in order of ids), path,
-    entries, ids.
+#: Bytes at which a task closes its file and begins the next.
+FILE_BYTES = 256 << 20
+
+
+def write_shards(
+    docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = FILE_BYTES
+) -> DataFrame:
+    """Encode every whole text, append ``end_id``, and write files of ranges of ids
+    under ``folder``, each of about ``file_bytes`` at most. Returns the manifest:
+    part and file (in order of ids), path, entries, ids.
 
     A file is named by its task attempt and listed in the manifest by the attempt
     that Spark commits, so a task that is repeated or lost leaves no trace in the
-    result. A null text counts as empty (its entry holds the end id alone); null
-    ids come first; ids may repeat, in an order that a hash of the text fixes."""
+    result. A null text counts as empty (its entry holds the end id alone); a text of
+    any length is one entry; null ids come first; ids may repeat, in an order that a
+    hash of the text fixes. An empty table writes no file."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -45,30 +52,41 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
         context = TaskContext.get()
+        name = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}"
         out = table = None
-        path = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}.sst"
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                ids, texts = (batch.column(k).slice(lo, 256).to_pylist() for k in (0, 1))
-                if table is None:
-                    fs, local = filesystem(path)
-                    fs.create_dir(local.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(local)
-                    table = sstable.Writer(out, encode.dtype.itemsize)
-                for doc_id, value in zip(ids, encode.encode(texts), strict=True):
-                    table.add(sstable.key_of(doc_id), value + end)
-        if table is not None:
+        number = 0
+
+        def done() -> pa.RecordBatch:
             table.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "path": [path], "entries": [table.entries], "ids": [table.ids]})
+            return pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [number], "path": [f"{name}-{number}.sst"], "entries": [table.entries], "ids": [table.ids]})
+
+        for batch in batches:
+            data, offsets = strings(batch.column(1))
+            ids = batch.column(0).to_pylist()
+            for lo, hi in runs(offsets, tiles.CHUNK, 1 << 20):
+                values, at = encode.encode_chunk(data, offsets[lo : hi + 1])
+                for k in range(hi - lo):
+                    if table is None:
+                        fs, local = filesystem(f"{name}-{number}.sst")
+                        fs.create_dir(local.rpartition("/")[0], recursive=True)
+                        out = fs.open_output_stream(local)
+                        table = sstable.Writer(out, encode.dtype.itemsize)
+                    table.add(sstable.key_of(ids[lo + k]), values[at[k] : at[k + 1]].tobytes() + end)
+                    if table.at >= file_bytes:
+                        yield done()
+                        table, number = None, number + 1
+        if table is not None:
+            yield done()
 
-    return materialise(placed.mapInArrow(write, "part long, path string, entries long, ids long"), "manifest")
+    return materialise(placed.mapInArrow(write, "part long, file long, path string, entries long, ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Per entry, from the files: id, start (ids of all entries before it), n_tokens, ids_crc32
     (of the ids as little-endian unsigned 32-bit integers)."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a file: the window is over the manifest alone.
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     placed = materialise(manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset")), "offsets")
     files = placed.repartition(max(1, placed.count()))
 
