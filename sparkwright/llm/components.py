@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import materialise
+from sparkwright.llm.shared import discard, materialise
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -22,15 +22,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (the smallest node reachable) for every node with an edge.
 
     Each pass ties every larger neighbour to the smallest one (large star), then
-    every node to its smallest smaller neighbour (small star). Passes end when
-    nothing changes, after about log(n) of them. Edges are written between passes."""
+    every node to its smallest smaller neighbour (small star). Passes end when only
+    stars are left, after about log(n) of them. Edges are written between passes."""
     at = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
-    before = None
-    while True:
-        state = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+    while not _stars_only(at):
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = _least(both)
         large = both.join(m, both["u"] == m["node"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -39,9 +34,20 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         n = _least(large)
         small = large.join(n, large["u"] == n["node"])
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        at = materialise(small.where("u != v").distinct(), "cc")
+        before, at = at, materialise(small.where("u != v").distinct(), "cc")
+        discard(before)
     members = at.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return materialise(members.union(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
+    labels = materialise(members.union(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
+    discard(at)
+    return labels
+
+
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then the edges are the answer."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("centre"))
+    ends = ends.union(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("centre")))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("centre").alias("centre"))
+    return seen.where("out + centre > 1").isEmpty()
 
 
 def extend_components(labels: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
@@ -53,4 +59,6 @@ def extend_components(labels: DataFrame, links: DataFrame, a: str, b: str) -> Da
     top = connected_components(contracted, "a", "b")
     nodes = labels.union(top.select("node", F.col("node").alias("component"))).distinct()
     over = top.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return materialise(nodes.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    out = materialise(nodes.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    discard(top)
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm.components import connected_components, extend_components
-from sparkwright.llm.shared import arrow_map, materialise, mix64, runs, strings
+from sparkwright.llm.shared import arrow_map, discard, materialise, mix64, runs, strings
 from sparkwright.llm.wordhash import Words
 
 #: 40 bands of 5 rows: a pair at similarity 0.8 shares no bucket with probability 1.2e-7.
@@ -100,25 +100,26 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """id, n (set size), set_key (16 bytes, equal for equal sets; null for the
-    empty set), bands."""
+    """id, text_hash, n (set size), set_key (16 bytes, equal for equal sets; null for
+    the empty set), bands."""
 
     def rows(batch: pa.RecordBatch):
-        data, offsets = strings(batch.column(1))
+        data, offsets = strings(batch.column(2))
         for lo, hi in runs(offsets):
             sets = list(shingle_sets(Words(data, offsets[lo : hi + 1], lower=True), size))
             keys = band_keys(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[lo:hi],
+                    batch.column(1)[lo:hi],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
                 ],
-                names=["id", "n", "set_key", "bands"],
+                names=["id", "text_hash", "n", "set_key", "bands"],
             )
 
-    return arrow_map(docs, rows, "id long, n long, set_key binary, bands array<long>")
+    return arrow_map(docs, rows, "id long, text_hash long, n long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -142,7 +143,9 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            common = len(p) + len(q) - len(np.union1d(p, q))
+            both = np.concatenate((p, q))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
             keep.append(100 * common >= percent * (len(p) + len(q) - common))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
@@ -177,10 +180,12 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("k").alias("k"))
         .where("lo < hi and k > 2").select("bucket")
     )
-    return materialise(at.join(mixed, "bucket"), "mixed")
+    out = materialise(at.join(mixed, "bucket"), "mixed")
+    discard(at)
+    return out
 
 
-def _residual(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _residual(active: DataFrame, sets: DataFrame, percent: int, spent: list[DataFrame]) -> DataFrame:
     """Every pair a < b from different components that the stars left open and
     that may still reach the similarity: an exact prefix join. With shingles
     ranked from rare to common, a linked pair shares one among the first
@@ -188,7 +193,8 @@ def _residual(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     must have enough left. Shingles that only one document has fill the prefixes
     of heavily edited copies, so those drop out here instead of meeting the group.
     For each shingle only documents outside its most frequent component are
-    matched, with the documents of other components."""
+    matched, with the documents of other components. Tables that the caller may
+    discard later are put into ``spent``."""
     who = active.select("id", "n", "comp").distinct()
 
     def rows(batch: pa.RecordBatch):
@@ -208,9 +214,9 @@ def _residual(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"))
         .where("comps > 1").select("tok", F.col("m.comp").alias("main"))
     )
-    left = materialise(entries.join(main, "tok").where("comp != main"), "outside").select(
-        "tok", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "comp", "pos"))
-    )
+    outside = materialise(entries.join(main, "tok").where("comp != main"), "outside")
+    spent += [toks, entries, outside]
+    left = outside.select("tok", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "comp", "pos")))
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n") - F.col("pos"))
     fits = (F.col("comp") != F.col("comp_x")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("n_x")))
     return (
@@ -225,52 +231,75 @@ def near_duplicates(
     """Components of near-duplicate texts.
 
     Returns per input row: id_col, n_shingles (distinct shingles of ``shingle``
-    lower-cased words), component_id (smallest id of the component) and kept
-    (whether this id is that one). A null or word-free text has the empty set and
-    is linked with nothing. A null id keeps a row of its own kind: it is linked
-    with nothing and has a null component and kept = true. Rows that repeat an id
-    each get a row back. Other columns are not looked at. An empty table gives an
-    empty result."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialise(sketches(source, shingle), "sketch")
+    lower-cased words), component_id (smallest id of the component), kept (whether
+    this id is that one), group (a number of the component, of this run only) and
+    text_hash (xxhash64 of the text). A null or word-free text has the empty set and
+    is linked with nothing. A null id keeps a row of its own kind: it is linked with
+    nothing and has a null component and kept = true; both have a null group. Rows
+    are documents of their own: those that repeat an id each get a row back, in the
+    component of their own text. A text of any length counts whole; other columns are
+    not looked at. An empty table gives an empty result."""
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    # Rows are numbered once, as they are written; a set goes by the least row that has it.
+    sketch = materialise(sketches(source, shingle).withColumn("row", F.monotonically_increasing_id()), "sketch")
     usable = sketch.where("set_key is not null and id is not null")
-    # One representative (the smallest id) of each distinct set.
-    first = usable.groupBy("set_key").agg(F.min("id").alias("rep"))
-    reps = materialise(first, "reps")
-    told = (
-        usable.alias("s").join(reps.alias("r"), (F.col("s.id") == F.col("r.rep")) & (F.col("s.set_key") == F.col("r.set_key")))
-        .select("s.id", "s.n", "s.bands")
-    )
+    reps = materialise(usable.groupBy("set_key").agg(F.min("row").alias("rep"), F.min("id").alias("least")), "reps")
+    told = usable.join(reps.select("rep"), usable["row"] == F.col("rep")).select(F.col("row").alias("id"), "n", "bands")
     exploded = told.select("id", "n", F.explode("bands").alias("bucket"))
     shared = (
         exploded.groupBy("bucket", F.pmod("id", F.lit(16)).alias("cell")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
         .groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("bucket")
     )
     members = materialise(exploded.join(shared, "bucket").withColumn("comp", F.col("id")), "members")
-    wanted = members.select("id").distinct()
-    sets = materialise(full_sets(source.join(wanted, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+    wanted = usable.join(members.select(F.col("id").alias("rep")).distinct(), usable["row"] == F.col("rep")).select("id", "text_hash", "rep")
+    texts = source.join(wanted, ["id", "text_hash"]).select(F.col("rep").alias("id"), "text")
+    sets = materialise(full_sets(texts, shingle).dropDuplicates(["id"]), "sets")
 
-    tested = materialise(_stars(members, percent, 1, 0), "edges")
-    links = materialise(confirm(tested, sets, percent), "links")
+    first = materialise(_stars(members, percent, 1, 0), "edges")
+    links = materialise(confirm(first, sets, percent), "links")
     labels = connected_components(links, "a", "b")
     active = _mixed(members, labels)
+    spent = [members, sets, first, links, active]
     if not active.isEmpty():
-        fresh = materialise(_stars(active, percent, centres, 1).join(tested, ["a", "b"], "left_anti"), "edges")
-        tested = tested.union(fresh)
-        labels = extend_components(labels, materialise(confirm(fresh, sets, percent), "links"), "a", "b")
+        fresh = materialise(_stars(active, percent, centres, 1).join(first, ["a", "b"], "left_anti"), "edges")
+        more = materialise(confirm(fresh, sets, percent), "links")
+        spent += [fresh, more, labels]
+        labels = extend_components(labels, more, "a", "b")
         active = _mixed(active, labels)
+        spent.append(active)
         if not active.isEmpty():
-            rest = materialise(_residual(active, sets, percent).join(tested, ["a", "b"], "left_anti"), "rest")
+            rest = materialise(_residual(active, sets, percent, spent).join(first.union(fresh), ["a", "b"], "left_anti"), "rest")
             more = materialise(confirm(rest, sets, percent), "links")
+            spent += [rest, more]
             if not more.isEmpty():
+                spent.append(labels)
                 labels = extend_components(labels, more, "a", "b")
-    component = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    component = materialise(component, "component")
+    rooted = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_key", "least", F.coalesce("component", "rep").alias("group"))
+    named = rooted.groupBy("group").agg(F.min("least").alias("component"))
+    component = materialise(rooted.join(named, "group").select("set_key", "group", "component"), "component")
+    discard(*spent, labels, reps)
     return (
-        sketch.select("id", "n", "set_key").join(component, "set_key", "left")
+        sketch.select("id", "n", "set_key", "text_hash")
+        .join(component, (sketch["set_key"] == component["set_key"]) & F.col("id").isNotNull(), "left")
         .select(
             F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-            F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+            F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), "group", "text_hash",
         )
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, unchanged, with all columns of ``docs``: of the rows
+    with the smallest id, the one of the smallest text hash. Rows with a null id or a
+    word-free text are linked with nothing and all stay."""
+    names = docs.columns
+    groups = near_duplicates(docs, id_col, text_col, shingle, percent)
+    kept = groups.where(F.col("kept") & F.col("group").isNotNull()).groupBy("group").agg(F.min(id_col).alias("_id"), F.min("text_hash").alias("_hash"))
+    kept = materialise(kept.select("_id", "_hash").distinct(), "kept")
+    spoken = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    h = "_h" + "_" * max(map(len, names))
+    linked = docs.where(F.col(id_col).isNotNull() & spoken).withColumn(h, F.xxhash64(text_col))
+    linked = linked.join(kept, (linked[id_col] == kept["_id"]) & (linked[h] == kept["_hash"]), "left_semi").dropDuplicates([id_col, h])
+    return linked.select(*names).unionByName(docs.where(F.col(id_col).isNull() | ~spoken))

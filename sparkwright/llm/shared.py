@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,11 +16,13 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    local one where the setting is absent (single-machine tests only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is
+    unset, a session on one machine (as in tests) has a local one; a cluster has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = "file:/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file:{tempfile.gettempdir()}/checkpoints"
     return root.rstrip("/")
 
 
@@ -30,7 +34,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stages/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +62,13 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(over, schema)
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``most`` bytes of the text column; a longer row stands alone."""
+    if batch.num_rows:
+        for lo, hi in runs(strings(batch.column(text))[1], most, batch.num_rows):
+            yield batch.slice(lo, hi - lo)
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
