@@ -1,9 +1,10 @@
 """Quality rules: exact text statistics and a calibrated n-gram classifier.
 
-The classifier is a logistic regression over hashed word unigrams and hashed byte
-trigrams (counts through log(1+x), rows scaled to unit length), fitted on at most
-``most`` labelled rows drawn by a hash of their id, calibrated by Platt scaling on
-a fifth of them that the fit has not seen, and scored in Arrow batches.
+The classifier is a logistic regression over hashed word n-grams (one and two
+words) and hashed character trigrams (counts through log(1+x), rows scaled to unit
+length), fitted on at most ``most`` labelled rows drawn by a hash of their id,
+calibrated by Platt scaling on a fifth of them that the fit has not seen, and scored
+in Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import arrow_map, mix64, runs, strings
-from sparkwright.llm.wordhash import SPACE, Words
+from sparkwright.llm.shared import arrow_map, mix64, runs, slices, strings
+from sparkwright.llm.wordhash import SPACE, Words, slice_hashes
 
-#: Buckets for words and as many for byte trigrams.
+#: Buckets for word n-grams and as many for character trigrams.
 WIDTH = 2048
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -68,25 +69,39 @@ def _repeated_lines(words: Words) -> np.ndarray:
     filled = np.concatenate(([0], np.cumsum(~SPACE[data], dtype=np.int64)))
     has = filled[end] > filled[start]
     start, end, row = start[has], end[has], row[has]
-    h = words.prefix.of(start, end)
+    h = slice_hashes(data, start, end)
     order = np.lexsort((h, row))
     again = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
     return np.bincount(row[order][1:][again], minlength=rows).astype(np.int64)
 
 
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The start and the bytes (as one number) of each character."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    value = data[start].astype(np.uint32)
+    if len(start) < len(data):
+        length = np.diff(np.append(start, len(data)))
+        for k in range(1, 4):
+            more = np.flatnonzero(length > k)
+            value[more] = value[more] << 8 | data[start[more] + k]
+    return start, value
+
+
 def _features(words: Words) -> np.ndarray:
     """Rows by 2 * WIDTH, unit length."""
     data, rows = words.data, len(words.count)
     out = np.zeros((rows, 2 * WIDTH), np.float32)
-    cell = words.row * WIDTH + (words.hash & np.uint64(WIDTH - 1)).astype(np.int64)
+    pairs = np.flatnonzero(np.arange(len(words.row)) + 2 <= words.first[1:][words.row])
+    grams = np.concatenate((words.hash, words.grams(2)[pairs]))
+    cell = np.concatenate((words.row, words.row[pairs])) * WIDTH + (grams & np.uint64(WIDTH - 1)).astype(np.int64)
     out[:, :WIDTH] = np.bincount(cell, minlength=rows * WIDTH).reshape(rows, WIDTH)
-    if len(data) >= 3:
-        d = data.astype(np.uint32)
-        tri = (d[:-2] << 16) | (d[1:-1] << 8) | d[2:]
-        tri = ((tri * np.uint32(2654435761)) >> np.uint32(32 - WIDTH.bit_length() + 1)).astype(np.int64)
-        row = np.repeat(np.arange(rows), np.diff(words.offsets))[: len(tri)]
-        fits = np.arange(len(tri)) + 3 <= words.offsets[1:][row]
-        out[:, WIDTH:] = np.bincount((row * WIDTH + tri)[fits], minlength=rows * WIDTH).reshape(rows, WIDTH)
+    start, char = _characters(data)
+    if len(char) >= 3:
+        tri = char[:-2] * np.uint32(2654435761) + char[1:-1] * np.uint32(2246822519) + char[2:] * np.uint32(3266489917)
+        tri = (tri >> np.uint32(32 - WIDTH.bit_length() + 1)).astype(np.int64)
+        row = np.searchsorted(words.offsets, start, "right") - 1
+        fits = row[:-2] == row[2:]
+        out[:, WIDTH:] = np.bincount((row[:-2] * WIDTH + tri)[fits], minlength=rows * WIDTH).reshape(rows, WIDTH)
     np.log1p(out, out=out)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.maximum(norm, 1e-9)
@@ -123,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     hashes of their id. None where both labels do not occur.
 
     Only hashed feature rows of fixed width reach the driver (at most ``most`` of
-    them, 16 KB each). Rows with a null id, label or text are not used."""
+    them, 16 KB each). Rows with a null id, label or text are not used; of texts that
+    share an id, the one of the smallest hash is."""
     drawn = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
         .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -135,9 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         data, offsets = strings(batch.column(2))
         for lo, hi in runs(offsets):
             x = _features(Words(data, offsets[lo : hi + 1])).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in (0, 1, 3)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "h", "x"])
 
-    got = arrow_map(texts.join(drawn, "id").select("id", "y", "text"), rows, "id long, y int, x binary").toArrow().sort_by("id")
+    seen = arrow_map(texts.join(drawn, "id").select("id", "y", "text", F.xxhash64("text").alias("h")), rows, "id long, y int, h long, x binary")
+    got = seen.groupBy("id").agg(F.min_by(F.struct("y", "x"), "h").alias("r")).select("id", "r.y", "r.x").toArrow().sort_by("id")
     y = got["y"].to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -162,9 +179,10 @@ def judge(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
     """Per row: id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, probability (of good quality), kept.
 
-    A null text counts as empty and fails the base rules (too few words). Without
-    a model every text that passes them is kept. Ids are passed through as they
-    are, null or repeated; other columns are not looked at."""
+    A null text counts as empty and fails the base rules (too few words). A text of
+    any length is judged whole. Without a model every text that passes them is kept.
+    Ids are passed through as they are, null or repeated; other columns are not
+    looked at. An empty table gives an empty result."""
 
     def rows(batch: pa.RecordBatch):
         data, offsets = strings(batch.column(1))
@@ -202,4 +220,4 @@ def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text
             keep[lo:hi] = good
         yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(lambda batches: (x for b in batches if b.num_rows for x in rows(b)), docs.schema)
+    return docs.mapInArrow(lambda batches: (x for b in batches for part in slices(b, at) for x in rows(part)), docs.schema)
