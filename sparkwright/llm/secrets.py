@@ -11,7 +11,6 @@ an endpoint in scope too; an access key, or a label that names the secret, does
 from __future__ import annotations
 
 import bisect
-import hashlib
 import itertools
 import math
 import re
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import arrow_map
+from sparkwright.llm.shared import arrow_map, slices
 
 #: Fixed patterns of the base kinds, in the order of kinds, with the least length
 #: of the group named.
@@ -31,8 +30,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that reach 16
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: Parts of multipart credentials.
-LOGIN = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.I | re.A)
-KEY_ID = re.compile(r"""(?<![A-Za-z0-9_])(?:aws_)?access[_\x20-]?key[_\x20-]?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,128})""", re.I | re.A)
+LOGIN = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
+KEY_ID = re.compile(r"""(?<![A-Za-z0-9_])(?:aws_)?access[_\x20-]?key[_\x20-]?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:(?:https?|ftp|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?:host|server|endpoint)\x20*[:=]\x20*[A-Za-z0-9.-]{4,})", re.I | re.A)
 VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 #: A value of any length that its label names a secret; group 1, 2 or 3 is the value.
@@ -86,9 +85,10 @@ class _Part:
         self.starts = [s[0] for s in spans]
         self.tops = list(itertools.accumulate((s[1] for s in spans), max))
 
-    def meets(self, span: tuple[int, int, str]) -> bool:
-        k = bisect.bisect_left(self.starts, span[1] + SCOPE)
-        return k > 0 and self.tops[k - 1] > span[0] - SCOPE
+    def meets(self, span: tuple, scope: int = SCOPE) -> bool:
+        """Whether one of the spans begins before ``scope`` after this one's end and ends after ``scope`` before its start."""
+        k = bisect.bisect_left(self.starts, span[1] + scope)
+        return k > 0 and self.tops[k - 1] > span[0] - scope
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -113,12 +113,8 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         found = {m.start(): m.end() for m in LABELLED.finditer(text)}
         found = [(a, found[a], "value") for a, _ in _outside([(a, a + 1) for a in found], [(m.start(1), m.end(2)) for m in strings])]
         named += _outside(found, base)
-    covered = sorted((s[0], s[1]) for s in base + named)
-    bare = []
-    for m in VALUE.finditer(text):
-        k = bisect.bisect_left(covered, (m.end(),)) - 1
-        if (k < 0 or covered[k][1] <= m.start()) and _secret_like(m.group()):
-            bare.append((m.start(), m.end(), "value"))
+    covered = _Part(base + named)
+    bare = [(*m.span(), "value") for m in VALUE.finditer(text) if not covered.meets(m.span(), 0) and _secret_like(m.group())]
     labels = named + [s for s in base if s[2] == "assign"]
     values = labels + bare + [s for s in base if s[2] == "hex"]
     if not values:
@@ -141,8 +137,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: id_col, n_assign, n_access, n_hex, base_spans and spans, both
     ``kind:start:end`` by start and kind, comma-joined, code points, end exclusive.
 
-    A null or empty text has no spans. Ids are passed through, null or repeated;
-    other columns are not looked at."""
+    A null or empty text has no spans; a text of any length is scanned whole. Ids are
+    passed through, null or repeated; other columns are not looked at. An empty table
+    gives an empty result."""
 
     def rows(batch: pa.RecordBatch):
         out = []
@@ -178,7 +175,8 @@ def redacted(text: str, mark: str = "[secret]") -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns of ``docs``, with secrets in the text replaced and,
     where ``length_col`` is present, the code points of the text counted anew for
-    texts that changed. A null text stays null."""
+    texts that changed. A null text stays null; rows that repeat stay as many; an
+    empty table stays empty."""
     names = docs.columns
     at = names.index(text_col)
     count = names.index(length_col) if length_col in names else None
@@ -193,8 +191,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
             columns[count] = pa.array([o if a == b else len(b) for o, a, b in zip(old, texts, new, strict=True)], batch.schema.field(count).type)
         yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(lambda batches: (x for b in batches if b.num_rows for x in rows(b)), docs.schema)
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    return docs.mapInArrow(lambda batches: (x for b in batches for part in slices(b, at) for x in rows(part)), docs.schema)
