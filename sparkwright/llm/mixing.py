@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import Feistel, arrow_map, materialise, mix64, runs, strings
+from sparkwright.llm.shared import Feistel, arrow_map, materialise, mix64, runs, slices, strings
 from sparkwright.llm.wordhash import Words
 
 #: Blocks of a shard, documents of a cell.
 SHARD, CELL = 4096, 8192
 #: Words of a block where none are given: the power of two that is at most this and
 #: at most a ``PART``-th of the source's target.
-LARGEST, PART = 2048, 32
+LARGEST, PART = 2048, 128
 
 
 def apportion(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -155,8 +155,12 @@ class Taker:
 
 
 def _placed(docs: DataFrame, weights: tuple, share: float, most: int, block: int | None, seed: int) -> DataFrame:
-    """``docs`` (with id, size, source) with their place on the axis of their
-    source and the source's plan."""
+    """``docs`` (with id, size, text_hash, source) with their place on the axis of
+    their source and the source's plan.
+
+    Rows that agree in id and text are interchangeable. The sums over cells are one
+    row a ``CELL`` documents, the plan is one row a source: both meet in one task (a
+    source's, or all), which bounds the sources to some millions."""
     totals = materialise(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "totals")
     cells = max(1, -(-int(totals.agg(F.sum("rows")).first()[0] or 0) // CELL))
     plan = materialise(_plan(totals.select("source", "source_size"), weights, share, most, block), "plan")
@@ -168,7 +172,7 @@ def _placed(docs: DataFrame, weights: tuple, share: float, most: int, block: int
     before = Window.partitionBy("named").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialise(sums.select("named", "cell", F.coalesce(F.sum("cell_size").over(before), F.lit(0)).alias("cell_start")), "cells")
     lead = materialise(starts.join(plan.withColumn("named", named).drop("source"), "named"), "lead")
-    inside = Window.partitionBy("named", "cell").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("named", "cell").orderBy("h", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return placed.join(lead, ["named", "cell"]).withColumn("start", F.col("cell_start") + F.col("inside"))
 
@@ -188,15 +192,16 @@ def _takers(batch: pa.RecordBatch, seed: int):
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, size (words), source."""
+    """id, size (words), text_hash, source."""
 
     def rows(batch: pa.RecordBatch):
         data, offsets = strings(batch.column(1))
         counts = [Words(data, offsets[lo : hi + 1]).count for lo, hi in runs(offsets)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts).astype(np.int64)), batch.column(2)], names=["id", "size", "source"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts).astype(np.int64)), batch.column(2), batch.column(3)], names=["id", "size", "text_hash", "source"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    return arrow_map(narrow, rows, "id long, size long, source string")
+    text = F.col(text_col)
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.col(source_col).cast("string").alias("source"))
+    return arrow_map(narrow, rows, "id long, size long, text_hash long, source string")
 
 
 def mix(
@@ -241,14 +246,16 @@ def mixed_rows(
     """The mix itself, with the columns of ``docs``: a row for each time that words
     of a document are taken. A row whose words are all taken has its text unchanged;
     otherwise the text runs over the words taken, stretch by stretch, a line feed
-    between stretches, and ``length_col`` counts its code points. ``block`` as in ``mix``."""
+    between stretches, and ``length_col`` counts its code points. ``block`` as in ``mix``.
+    A text without words, null or not, is not taken; texts of any length are cut whole
+    blocks at a time; an empty table gives an empty result."""
     names = docs.columns
     at_text = names.index(text_col)
     length = names.index(length_col) if length_col in names else None
     whole = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(names)})
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at_text)):
             data, offsets = strings(batch.column(at_text))
             sizes = [Words(data, offsets[lo : hi + 1]).count for lo, hi in runs(offsets)]
             sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
@@ -256,7 +263,7 @@ def mixed_rows(
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)
     sized = whole.mapInArrow(count, f"{kinds}, size long")
-    sized = sized.withColumn("id", F.col(f"c{names.index(id_col)}").cast("long")).withColumn("source", F.col(f"c{names.index(source_col)}").cast("string"))
+    sized = sized.withColumn("id", F.col(f"c{names.index(id_col)}").cast("long")).withColumn("text_hash", F.xxhash64(f"c{at_text}")).withColumn("source", F.col(f"c{names.index(source_col)}").cast("string"))
 
     def rows(batch: pa.RecordBatch):
         get = lambda name: batch.column(batch.schema.get_field_index(name))
@@ -291,4 +298,4 @@ def mixed_rows(
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
     placed = _placed(sized, weights, share, most, block, seed).select(*(f"c{k}" for k in range(len(names))), "size", "start", *_PLAN)
-    return placed.mapInArrow(lambda batches: (x for b in batches if b.num_rows for x in rows(b)), docs.schema)
+    return placed.mapInArrow(lambda batches: (x for b in batches for part in slices(b, at_text) for x in rows(part)), docs.schema)

@@ -18,7 +18,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkwright.llm.mixing import mix
 
-    return mix(read_table(spark, sf_dir, "documents"))
+    return mix(read_table(spark, sf_dir, "documents"), block=None)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
