@@ -21,10 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document (the smallest id) of each group at similarity 0.8 on five-word shingles."""
-    groups = minhash.near_duplicates(docs, shingle=5, percent=80)
-    kept = groups.where("kept").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return minhash.keep_one(docs, shingle=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
