@@ -1,7 +1,8 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes.
 
 A page is parsed into a tree (tag soup allowed). Runs of text and inline elements
-right under the scaffolding (root, html, body) become anonymous blocks. Each element gets features of its
+right under the scaffolding (root, html, body) become anonymous blocks. Each block,
+and each inline element whose attributes name a kind of part, gets features of its
 tag, attribute tokens, depth, siblings and subtree (text, link and tag density),
 and boosted regression trees score it as content or boilerplate. Decoding is
 hierarchical: one pass from the leaves up finds the labelling of the whole tree
@@ -18,6 +19,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,27 +47,69 @@ _P_CLOSERS = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody
 #: Elements that closing by a start tag does not reach past.
 _FENCE = frozenset("table ul ol dl div article section main aside nav header footer form body blockquote td th li".split())
 
+_NONE, _P = frozenset(), frozenset("p")
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "depth", "index")
+    __slots__ = ("tag", "attrs", "children", "parent", "depth", "index", "foreign")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
+        self.foreign = tag in ("svg", "math") or parent is not None and parent.foreign
         self.index = 0
 
 
+class _Open:
+    """The open elements, and which tags are among them: in all, since the last one
+    that closing by a start tag does not pass (``_FENCE``), and since the last block.
+    A walk up is made only where it ends in closing all it passes."""
+
+    def __init__(self, root: Node):
+        self.here, self.all, self.fences, self.blocks = root, Counter(), [Counter()], [Counter()]
+
+    def enter(self, node: Node) -> None:
+        tag = node.tag
+        self.here = node
+        self.all[tag] += 1
+        if tag in _FENCE:
+            self.fences.append(Counter())
+        self.fences[-1][tag] += 1
+        if tag in BLOCK:
+            self.blocks.append(Counter())
+        else:
+            self.blocks[-1][tag] += 1
+
+    def close(self, tags) -> None:
+        """Close the nearest element of these tags, and all within it."""
+        while True:
+            node = self.here
+            tag, self.here = node.tag, node.parent
+            self.all[tag] -= 1
+            if tag in _FENCE:
+                self.fences.pop()
+            else:
+                self.fences[-1][tag] -= 1
+            if tag in BLOCK:
+                self.blocks.pop()
+            else:
+                self.blocks[-1][tag] -= 1
+            if tag in tags:
+                return
+
+
 def parse(page: str) -> Node:
     """A tree of elements and text; unclosed and stray tags are put right."""
     root = Node("#root", "", None)
-    at, here = 0, root
+    at, open_ = 0, _Open(root)
     n = len(page)
     while at < n:
+        here = open_.here
         m = _TOKEN.search(page, at)
         if not m:
             here.children.append(entities.unescape(page[at:]))
@@ -76,35 +120,25 @@ def parse(page: str) -> Node:
         if m[2]:
             tag = m[2].lower()
             if tag in _P_CLOSERS or tag in CLOSES:
-                closes = CLOSES.get(tag, set()) | ({"p"} if tag in _P_CLOSERS else set())
-                up = here
-                while up.parent is not None:
-                    if up.tag in closes:
-                        here = up.parent
-                        if tag not in ("tr", "tbody", "tfoot", "thead"):
-                            break
-                    elif up.tag in _FENCE:
+                closes = CLOSES.get(tag, _NONE) | (_P if tag in _P_CLOSERS else _NONE)
+                while any(open_.fences[-1][t] for t in closes):
+                    open_.close(closes)
+                    if tag not in ("tr", "tbody", "tfoot", "thead"):
                         break
-                    up = up.parent
-            node = Node(tag, m[3] or "", here)
-            here.children.append(node)
+            node = Node(tag, m[3] or "", open_.here)
+            open_.here.children.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
                 node.children.append(page[at : end.start()])
                 at = end.end()
-            elif tag not in VOID and not (m[3] or "").endswith("/"):
-                here = node
+            elif tag not in VOID and not (node.foreign and node.attrs.endswith("/")):
+                # Outside SVG and MathML a slash at the end of a start tag means nothing.
+                open_.enter(node)
         elif m[1]:
             tag = m[1].lower()
-            up = here
-            while up.parent is not None and up.tag != tag:
-                # An inline end tag does not close blocks.
-                if tag not in BLOCK and up.tag in BLOCK:
-                    up = root
-                    break
-                up = up.parent
-            if up.parent is not None:
-                here = up.parent
+            # An inline end tag does not close blocks.
+            if (open_.all if tag in BLOCK else open_.blocks[-1])[tag]:
+                open_.close((tag,))
     _wrap_runs(root)
     return root
 
@@ -176,7 +210,7 @@ TOKENS = {
     "social": "share social sharing tags tag follow meta byline author toolbar login search form",
 }
 _KIND = {w: i for i, words in enumerate(TOKENS.values()) for w in words.split()}
-_TAGS = ("article", "main", "section", "div", "p", "li", "ul", "nav", "header", "footer", "aside", "form", "h1", "h2", "table", "td", "blockquote", "pre", "figure", "body", "dialog", "details", "fieldset", "#run")
+_TAGS = ("article", "main", "section", "div", "p", "li", "ul", "nav", "header", "footer", "aside", "form", "h1", "h2", "table", "td", "blockquote", "pre", "figure", "body", "dialog", "details", "fieldset", "#run", "#inline")
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
 N_FEATURES = len(_TAGS) + 2 * len(TOKENS) + 15
 
@@ -196,16 +230,20 @@ def _tokens(node: Node) -> np.ndarray:
 
 
 def elements(root: Node) -> tuple[list[Node], np.ndarray]:
-    """Block elements in page order (each after its ancestors), and their features."""
+    """Block elements, and inline ones that attributes name, in page order (each after
+    its ancestors), and their features."""
     nodes: list[Node] = []
+    named: list[np.ndarray] = []
     stack: list[Node] = [root]
     while stack:
         node = stack.pop()
         if node.tag in SILENT:
             continue
-        if node.tag in BLOCK or node is root:
+        own = _tokens(node)
+        if node.tag in BLOCK or node is root or own.any():
             node.index = len(nodes)
             nodes.append(node)
+            named.append(own)
         else:
             node.index = -1
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
@@ -213,7 +251,10 @@ def elements(root: Node) -> tuple[list[Node], np.ndarray]:
     own_text, own_link, own_tags = np.zeros(n), np.zeros(n), np.zeros(n)
 
     def gather(block: Node) -> None:
-        todo: list[tuple[Node, bool]] = [(block, block.tag == "a")]
+        up = block.parent
+        while up is not None and up.tag != "a" and up.tag not in BLOCK:
+            up = up.parent
+        todo: list[tuple[Node, bool]] = [(block, block.tag == "a" or up is not None and up.tag == "a")]
         k = block.index
         while todo:
             node, link = todo.pop()
@@ -224,7 +265,7 @@ def elements(root: Node) -> tuple[list[Node], np.ndarray]:
                     own_link[k] += length * link
                 elif c.tag not in SILENT:
                     own_tags[k] += 1
-                    if c.tag not in BLOCK:
+                    if c.index < 0:
                         todo.append((c, link or c.tag == "a"))
 
     up = np.full(n, -1)
@@ -247,11 +288,10 @@ def elements(root: Node) -> tuple[list[Node], np.ndarray]:
     total = max(text[0], 1)
     at = len(_TAGS)
     for k, node in enumerate(nodes):
-        t = _TAG_AT.get(node.tag)
+        t = _TAG_AT.get(node.tag if node.tag in BLOCK or node is root else "#inline")
         if t is not None:
             x[k, t] = 1
-        own = _tokens(node)
-        x[k, at : at + len(TOKENS)] = own
+        x[k, at : at + len(TOKENS)] = named[k]
         # What ancestors are named, and which of their tags frame content.
         if up[k] >= 0:
             x[k, at + len(TOKENS) : at + 2 * len(TOKENS)] = np.maximum(x[up[k], at + len(TOKENS) : at + 2 * len(TOKENS)], x[up[k], at : at + len(TOKENS)])
@@ -362,9 +402,16 @@ def training_pages(count: int = 1200, seed: int = 5):
             name = named(kind)
         return f"<{tag}{name}>{body}</{tag}>"
 
+    def aside():
+        """Inline clutter, and inline content with a name."""
+        tag = rng.choice(["span", "span", "a", "small", "em"])
+        if rng.random() < 0.6:
+            return f'<{tag}{named(rng.choice(["advert", "advert", "social", "side", "notice", "navigation", "comment"]))}>{words(1, 9)}</{tag}>'
+        return f'<{tag}{c}{named("content")}>{words(1, 9)}</{tag}>'
+
     def sentence():
-        """Words with links or emphasis among them."""
-        inner = lambda: rng.choice([f'<a href="/{word()}">{words(1, 3)}</a>', f"<b>{words(1, 3)}</b>", f"<i>{words(1, 3)}</i>"])
+        """Words with links, emphasis or clutter among them."""
+        inner = lambda: rng.choice([f'<a href="/{word()}">{words(1, 3)}</a>', f"<b>{words(1, 3)}</b>", f"<i>{words(1, 3)}</i>", aside()])
         most = rng.choice([3, 12, 40])
         return "".join(f"{words(1, most)} {inner()} " for _ in range(rng.choice([1, 1, 2, 3]))) + words(1, most)
 
@@ -476,10 +523,11 @@ def _render(root: Node, keep: np.ndarray) -> str:
     stack: list[tuple[Node, int]] = [(root, 0)]
     while stack:
         node, at = stack.pop()
-        if at == 0 and node.index >= 0:
+        breaks = node.tag in BLOCK or node is root
+        if at == 0 and breaks:
             end()
         if at >= len(node.children):
-            if node.index >= 0:
+            if breaks:
                 end()
             continue
         stack.append((node, at + 1))
@@ -491,8 +539,10 @@ def _render(root: Node, keep: np.ndarray) -> str:
         elif child.tag not in SILENT:
             if child.index < 0 or keep[child.index]:
                 stack.append((child, 0))
-            elif child.index >= 0:
+            elif child.tag in BLOCK:
                 end()
+            else:
+                line.append(" ")
     end()
     return "\n".join(blocks)
 
@@ -510,8 +560,9 @@ def main_text(page: str, boosted: Boosted) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep_cols: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep_cols``, text and n_chars (its code points) for every row.
 
-    A null or empty page has an empty text. Kept columns pass through, null or
-    repeated; other columns, also ones named text or n_chars, are not looked at."""
+    A null or empty page has an empty text; a page of any length is read whole. Kept
+    columns pass through, null or repeated; other columns, also ones named text or
+    n_chars, are not looked at. An empty table gives an empty result."""
     boosted = model()
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep_cols)
 
