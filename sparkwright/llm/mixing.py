@@ -74,6 +74,28 @@ def targets(sizes: np.ndarray, weights: np.ndarray, budget: float, most: float)
     return out
 
 
+def spread(seats: int, blocks: int, most: int, shard: int) -> tuple[int, int, int]:
+    """Sainte-Laguë among the shards of a source of ``blocks`` blocks, all of ``shard``
+    blocks but the last: the seats of each full shard, how many of them (the first
+    ones) get one more, and the seats of the last, shorter one. Full shards have equal
+    votes, so their seats are counted together."""
+    full, short = divmod(blocks, shard)
+    if not full:
+        return 0, 0, seats
+    if not short:
+        return seats // full, seats % full, 0
+    each, last = seats * shard // blocks, seats * short // blocks
+    spare = seats - each * full - last
+    while spare:
+        if last >= most * short or shard / (2 * each + 1) >= short / (2 * last + 1):
+            if spare < full:
+                break
+            each, spare = each + 1, spare - full
+        else:
+            last, spare = last + 1, spare - 1
+    return each, spare, last
+
+
 def _plan(totals: DataFrame, weights: tuple, share: float, most: int, block: int | None) -> DataFrame:
     """source, source_size, target, block (words of each), blocks, and the blocks that each full shard
     (``each``, one more in the first ``extra``) and the last, shorter one get. One
@@ -98,22 +120,8 @@ def _plan(totals: DataFrame, weights: tuple, share: float, most: int, block: int
         quota = np.minimum((2 * seats * seat + words) // (2 * words), most * blocks)
         each, extra, last = [], [], []
         for n, q in zip(blocks.tolist(), quota.tolist(), strict=True):
-            full, short = divmod(n, SHARD)
-            # All full shards have equal votes: apportion among them together.
-            a, c = (q // full, 0) if full and not short else (0, q) if not full else (q * SHARD // n, 0)
-            if full and short:
-                c = q * short // n
-                spare = q - a * full - c
-                while spare:
-                    if c >= most * short or SHARD / (2 * a + 1) >= short / (2 * c + 1):
-                        if spare < full:
-                            break
-                        a, spare = a + 1, spare - full
-                    else:
-                        c, spare = c + 1, spare - 1
-            each.append(a)
-            extra.append(q - a * full - c)
-            last.append(c)
+            for column, value in zip((each, extra, last), spread(q, n, most, SHARD), strict=True):
+                column.append(value)
         yield pa.RecordBatch.from_pydict(
             {"source": names, "source_size": sizes, "target": target, "block": words, "blocks": blocks, "each": each, "extra": extra, "last": last},
             schema=pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), *((c, pa.int64()) for c in ("block", "blocks", "each", "extra", "last"))]),
