@@ -30,3 +30,23 @@ def scan_bytes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 def billed(total: int) -> int:
     return max(total, BILLING_MINIMUM)
+
+
+def human_bytes(n: float) -> str:
+    """A count of bytes in the largest unit that leaves 1 or more, two decimals."""
+    for unit in ("B", "KB", "MB", "GB"):
+        if n < 1024:
+            return f"{n:,.0f} {unit}" if unit == "B" else f"{n:,.2f} {unit}"
+        n /= 1024
+    return f"{n:,.2f} TB"
+
+
+def estimate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """scan, bytes, billed, shown: what the columns and all columns cost to scan; one pass."""
+    one = F.when(F.col("column_name").isin(*columns), F.col("bytes")).otherwise(0)
+    totals = scan_bytes(df).agg(F.sum(one).alias("some"), F.sum("bytes").alias("every"))
+    rows = totals.selectExpr("stack(2, 'columns', some, 'all', every) as (scan, bytes)").withColumn("billed", F.greatest("bytes", F.lit(BILLING_MINIMUM)))
+    shown = F.lit(None).cast("string")
+    for power, unit in reversed(list(enumerate(("KB", "MB", "GB", "TB"), 1))):
+        shown = F.coalesce(shown, F.when(F.col("bytes") >= 1024**power, F.concat(F.format_number(F.col("bytes") / 1024**power, 2), F.lit(f" {unit}"))))
+    return rows.withColumn("shown", F.coalesce(shown, F.concat(F.format_number("bytes", 0), F.lit(" B"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import md5_bucket
@@ -36,10 +36,13 @@ def straddlers(df: DataFrame, group: str, split_col: str = "split") -> DataFrame
 
 
 def drift(df: DataFrame, target: str, split_col: str = "split") -> DataFrame:
-    """split, n_rows, rate, and the rate's distance from that of all rows."""
-    rate = F.avg(F.col(target).cast("int"))
-    overall = df.agg(rate.alias("_all"))
-    return df.groupBy(split_col).agg(F.count("*").alias("n_rows"), rate.alias("rate")).join(F.broadcast(overall)).withColumn("deviation", F.abs(F.col("rate") - F.col("_all"))).drop("_all")
+    """split, n_rows, rate, and the rate's distance from that of all rows: one pass,
+    the whole from the totals of the splits (a window over one row a split)."""
+    y = F.col(target).cast("int")
+    parts = df.groupBy(split_col).agg(F.count("*").alias("n_rows"), F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    every, rate = Window.partitionBy(), F.try_divide(F.col("_s"), F.col("_n"))
+    overall = F.try_divide(F.sum("_s").over(every), F.sum("_n").over(every))
+    return parts.select(split_col, "n_rows", rate.alias("rate"), F.abs(rate - overall).alias("deviation"))
 
 
 def rate_by_band(df: DataFrame, banded: Column, target: Column, name: str = "band") -> DataFrame:

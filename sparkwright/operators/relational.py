@@ -43,6 +43,13 @@ def labelled_counts(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("records")).select(F.lit(label).alias("measure"), "records") for label, df in parts))
 
 
+def counted(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """measure, records: the rows of each condition, all in one pass."""
+    counts = df.agg(*(F.count_if(c).alias(f"n{i}") for i, c in enumerate(measures.values())))
+    stack = ", ".join(f"'{label}', n{i}" for i, label in enumerate(measures))
+    return counts.selectExpr(f"stack({len(measures)}, {stack}) as (measure, records)")
+
+
 def marker_counts(df: DataFrame, marker: str, columns: Sequence[str]) -> DataFrame:
     """column_name, marked, missing: cells equal to a marker and null cells, in one pass."""
     both = df.agg(*(F.count_if(F.col(c) == marker).alias(f"m{i}") for i, c in enumerate(columns)), *(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)))
@@ -56,12 +63,16 @@ def co_missing(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"))
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column_name, n, mean, std, min, q25, q50, q75, max; exact, in one pass."""
+def describe(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """column_name, n, mean, std, min, q25, q50, q75, max, in one pass. Exact quartiles
+    hold the distinct values of a column in one task; with ``accuracy`` they are
+    approximate (rank error 1 / accuracy) and take bounded memory at any size."""
+    cuts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = lambda x: F.percentile(x, cuts) if accuracy is None else F.percentile_approx(x, cuts, accuracy)
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        aggs += [F.count(c).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"), F.max(x).alias(f"max{i}")]
+        aggs += [F.count(c).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), quartiles(x).alias(f"q{i}"), F.max(x).alias(f"max{i}")]
     stack = ", ".join(f"'{c}', n{i}, mean{i}, std{i}, min{i}, q{i}[0], q{i}[1], q{i}[2], max{i}" for i, c in enumerate(columns))
     return df.agg(*aggs).selectExpr(f"stack({len(columns)}, {stack}) as (column_name, n, mean, std, min, q25, q50, q75, max)")
 

@@ -8,14 +8,19 @@ are an optional dimension; equal texts are duplicates.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwright import functions as X
-from sparkwright.operators import cost, dims, facts, features, keys, quality, relational, rules, serve
-from sparkwright.sources import csv_text, inline_values, row_range, schema_of
+from sparkwright.operators import cost, dims, facts, features, keys, profiling, quality, relational, rules, serve
+from sparkwright.plans.census import Census
+from sparkwright.sources import Warehouse, columns_like, csv_inferred, csv_text, fingerprint, inline_values, name_sorted, numbered_lines, row_range, schema_of, shared_folder, write_csv, write_json
+from sparkwright.sources.files import Files
+from sparkwright.sources.store import ConstraintError
+from sparkwright.streaming import drain, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,8 +68,7 @@ def allocation(t):
   UNION ALL SELECT 'of those, urgent', count(*) FROM orders WHERE {POOL} AND o_orderpriority LIKE '1-%'
   UNION ALL SELECT 'of those, pending', count(*) FROM orders WHERE {POOL} AND o_orderstatus = 'P'""")
 def pool_breakdown(t):
-    pool = t.orders.where(POOL)
-    return relational.labelled_counts([("eligible pool", pool), ("of those, urgent", pool.where(F.col("o_orderpriority").like("1-%"))), ("of those, pending", pool.where("o_orderstatus = 'P'"))])
+    return relational.counted(t.orders.where(POOL), {"eligible pool": F.lit(True), "of those, urgent": F.col("o_orderpriority").like("1-%"), "of those, pending": F.col("o_orderstatus") == "P"})
 
 
 @query("""WITH l AS (SELECT p_type, CASE WHEN l_quantity = 50 THEN NULL ELSE l_quantity END AS q, l_quantity = 50 AS flag FROM lineitem JOIN part ON p_partkey = l_partkey)
@@ -399,9 +403,9 @@ def share_of_total(t):
     return n.join(F.broadcast(total)).select("o_orderstatus", "n", X.share(F.col("n"), F.col("total")).alias("pct"))
 
 
-@query("SELECT max(abs(r - (SELECT avg((l_returnflag = 'R')::INT) FROM lineitem))) < 0.2 AS within FROM (SELECT l_linestatus, avg((l_returnflag = 'R')::INT) AS r FROM lineitem GROUP BY 1)")
+@query("SELECT round(max(abs(r - (SELECT avg((l_returnflag = 'R')::INT) FROM lineitem))), 6) AS largest FROM (SELECT l_linestatus, avg((l_returnflag = 'R')::INT) AS r FROM lineitem GROUP BY 1)")
 def max_deviation(t):
-    return features.drift(t.lineitem.select((F.col("l_returnflag") == "R").alias("y"), F.col("l_linestatus").alias("split")), "y").agg((F.max("deviation") < 0.2).alias("within"))
+    return features.drift(t.lineitem.select((F.col("l_returnflag") == "R").alias("y"), F.col("l_linestatus").alias("split")), "y").agg(F.round(F.max("deviation"), 6).alias("largest"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -546,15 +550,17 @@ def occurrence_number(t):
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def latest_event(t):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return t.orders.withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+    w = Warehouse(t.spark, _scratch(t, "log"))
+    w.overwrite("orders", t.orders)
+    return w.latest("orders", ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT c_custkey, 0.0 FROM customer WHERE c_nationkey = 3")
 def upsert(t):
-    fresh = t.customer.where("c_nationkey = 3").select("c_custkey", F.lit(0.0).alias("c_acctbal"))
-    old = t.customer.select("c_custkey", "c_acctbal")
-    return old.join(fresh.select("c_custkey"), "c_custkey", "left_anti").unionByName(fresh)
+    w = Warehouse(t.spark, _scratch(t, "upsert"))
+    w.overwrite("balances", t.customer.select("c_custkey", "c_acctbal"))
+    w.upsert("balances", t.customer.where("c_nationkey = 3").select("c_custkey", F.lit(0.0).alias("c_acctbal")), ["c_custkey"])
+    return w.read("balances")
 
 
 # Quality, cost, files -------------------------------------------------------------
@@ -629,14 +635,12 @@ def scan_bytes(t):
 
 
 def _scratch(t: Tables, name: str) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{t.folder.rstrip('/').rpartition('/')[2]}"
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
 def csv_roundtrip(t):
-    from sparkwright.sources import write_csv
-
     path = _scratch(t, "csv")
     write_csv(t.customer.select("c_custkey", "c_name", "c_mktsegment"), path)
     return csv_text(t.spark, path, ["c_custkey", "c_name", "c_mktsegment"])
@@ -649,3 +653,292 @@ def parquet_roundtrip(t):
     path = _scratch(t, "parquet")
     write_parquet(t.customer.select("c_custkey", "c_name", "c_acctbal"), path)
     return parquet(t.spark, path)
+
+
+# Warehouse ----------------------------------------------------------------------------
+
+
+def _warehouse(t: Tables, name: str) -> Warehouse:
+    return Warehouse(t.spark, _scratch(t, name))
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation")
+def warehouse_append(t):
+    w = _warehouse(t, "append")
+    w.create("nations", "n_nationkey int, n_name string")
+    w.append("nations", t.nation)
+    w.append("nations", t.nation.select((F.col("n_nationkey") + 100).alias("n_nationkey"), "n_name"))
+    return w.read("nations")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def warehouse_append_absent(t):
+    w = _warehouse(t, "absent")
+    w.overwrite("regions", t.region.select("r_regionkey", "r_name").where("r_regionkey < 3"))
+    w.append_absent("regions", t.region, ["r_regionkey"])
+    w.append_absent("regions", t.region, ["r_regionkey"])
+    return w.read("regions")
+
+
+@query("SELECT 1 AS version, count(*) AS n FROM customer UNION ALL SELECT 2, count(*) FROM customer WHERE c_nationkey = 3")
+def warehouse_refresh(t):
+    w = _warehouse(t, "refresh")
+    w.overwrite("customers", t.customer)
+    w.overwrite("customers", t.customer.where("c_nationkey = 3"))
+    old, new = (w.read("customers", v).agg(F.count("*").alias("n")) for v in w.versions("customers"))
+    return old.select(F.lit(1).alias("version"), "n").union(new.select(F.lit(2), "n"))
+
+
+@query("SELECT * FROM (VALUES ('created', 'dim_a, dim_b, fact_c'), ('named dim_', 'dim_a, dim_b'), ('one dropped', 'dim_a, fact_c'), ('reset', '')) AS v(step, tables)")
+def warehouse_tables(t):
+    w, rows = _warehouse(t, "tables"), []
+    for name in ("fact_c", "dim_b", "dim_a"):
+        w.create(name, "x int")
+    rows += [("created", w.tables()), ("named dim_", w.tables("dim\\_%"))]
+    w.drop("dim_b")
+    rows.append(("one dropped", w.tables()))
+    w.reset()
+    rows.append(("reset", w.tables()))
+    return inline_values(t.spark, [(step, ", ".join(names)) for step, names in rows], "step string, tables string")
+
+
+@query("SELECT 'c_custkey' AS column_name, count(*) AS rows, count(c_custkey) AS n_values FROM customer UNION ALL SELECT 'c_mktsegment', count(*), count(c_mktsegment) FROM customer")
+def warehouse_statistics(t):
+    w = _warehouse(t, "statistics")
+    w.overwrite("customers", t.customer.select("c_custkey", "c_mktsegment"))
+    return w.statistics("customers").select("column_name", "rows", "n_values")
+
+
+@query("SELECT 'nation' AS table_name, count(*) AS n_rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def warehouse_counts(t):
+    w = _warehouse(t, "counts")
+    w.overwrite("nation", t.nation)
+    w.overwrite("region", t.region)
+    return w.counts()
+
+
+@query("SELECT r_name, count(*) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def warehouse_view(t):
+    w = _warehouse(t, "view")
+    w.overwrite("wv_nation", t.nation)
+    w.overwrite("wv_region", t.region)
+    w.view()
+    return t.spark.sql("SELECT r_name, count(*) AS nations FROM wv_region JOIN wv_nation ON n_regionkey = r_regionkey GROUP BY r_name")
+
+
+@query("SELECT * FROM (VALUES ('good', FALSE), ('null', TRUE), ('repeated', TRUE), ('unresolved', TRUE)) AS v(rows, refused)")
+def warehouse_constraints(t):
+    w = _warehouse(t, "constraints")
+    w.overwrite("region", t.region)
+    cases = {
+        "good": (t.nation, {"not_null": ["n_name"], "unique": ["n_nationkey"], "references": [("n_regionkey", "region", "r_regionkey")]}),
+        "null": (t.nation.select(F.nullif("n_nationkey", F.lit(3)).alias("k")), {"not_null": ["k"]}), "repeated": (t.nation, {"unique": ["n_regionkey"]}),
+        "unresolved": (t.nation.select((F.col("n_regionkey") + 1).alias("k")), {"references": [("k", "region", "r_regionkey")]}),
+    }
+
+    def refused(df, rules):
+        try:
+            w.require(df, **rules)
+        except ConstraintError:
+            return True
+        return False
+
+    return inline_values(t.spark, [(name, refused(*case)) for name, case in cases.items()], "rows string, refused boolean")
+
+
+# Files --------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_retailprice, p_type FROM part")
+def csv_inferred_types(t):
+    path = _scratch(t, "inferred")
+    write_csv(t.part.select("p_partkey", "p_retailprice", "p_type"), path)
+    read = csv_inferred(t.spark, path)
+    if dict(read.dtypes)["p_retailprice"] != "double" or dict(read.dtypes)["p_partkey"] not in ("int", "bigint"):
+        raise ValueError(f"inferred {read.dtypes}")
+    return read.withColumn("p_partkey", F.col("p_partkey").cast(t.part.schema["p_partkey"].dataType))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || chr(10) || '\"' || c_mktsegment AS note FROM customer")
+def csv_line_feeds(t):
+    path = _scratch(t, "breaks")
+    write_csv(t.customer.select("c_custkey", F.concat("c_name", F.lit('\n"'), "c_mktsegment").alias("note")), path)
+    return csv_text(t.spark, path, ["c_custkey", "note"])
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def json_roundtrip(t):
+    path = _scratch(t, "json")
+    write_json(t.customer.select("c_custkey", "c_name"), path)
+    return t.spark.read.schema(t.customer.select("c_custkey", "c_name").schema).json(path)
+
+
+@query("SELECT sha256(string_agg(r_name, ',' ORDER BY r_regionkey)) AS sha256, strlen(string_agg(r_name, ',' ORDER BY r_regionkey)) AS bytes FROM region")
+def file_digest(t):
+    path = f"{_scratch(t, 'digest')}/regions.txt"
+    Files(t.spark, path).write_new(path, ",".join(r["r_name"] for r in t.region.orderBy("r_regionkey").collect()))
+    return inline_values(t.spark, [fingerprint(t.spark, path)], "sha256 string, bytes long")
+
+
+@query("SELECT * FROM (VALUES (1, 'a.csv'), (2, 'b.csv'), (3, 'c.csv')) AS v(load, file)")
+def files_by_name(t):
+    folder = _scratch(t, "drops")
+    for name in ("c.csv", "a.csv", "notes.txt", "b.csv"):
+        Files(t.spark, folder).write_new(f"{folder}/{name}", "x\n")
+    return inline_values(t.spark, [(i, p.rpartition("/")[2]) for i, p in enumerate(name_sorted(t.spark, folder), 1)], "load int, file string")
+
+
+def _lines(t: Tables) -> DataFrame:
+    """Customers as the lines of one file, in order of their key."""
+    path = _scratch(t, "lines")
+    write_csv(t.customer.select("c_custkey", "c_name").repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey"), path)
+    return numbered_lines(csv_text(t.spark, path, ["c_custkey", "c_name"]))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) AS source_row, CAST(c_custkey AS VARCHAR) AS c_custkey FROM customer")
+def line_numbers(t):
+    return _lines(t).select("source_row", "c_custkey")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) AS source_row, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
+def source_row_join(t):
+    lines = _lines(t)
+    return lines.select("source_row", "c_custkey").join(lines.select("source_row", "c_name"), "source_row")
+
+
+@query("SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('nation', 'orders', 'lineitem') AND (column_name ILIKE '%key%' OR column_name ILIKE '%DATE%')")
+def columns_by_name(t):
+    rows = [(n, c) for n in ("nation", "orders", "lineitem") for c in columns_like(getattr(t, n), "KEY", "date")]
+    return inline_values(t.spark, rows, "table_name string, column_name string")
+
+
+# Measuring ----------------------------------------------------------------------------
+
+SCRIPT = """-- a load; in two parts
+CREATE OR REPLACE TEMP VIEW sc_orders AS SELECT * FROM {orders} WHERE o_orderstatus <> 'x;y';
+/* counts; by status */ SELECT o_orderstatus, count(*) AS n FROM sc_orders GROUP BY 1;
+SELECT 'it''s; done' AS a"""
+
+
+@query("SELECT * FROM (VALUES (1, 'create sc_orders'), (2, 'select'), (3, 'select')) AS v(position, statement)")
+def script_statements(t):
+    return inline_values(t.spark, [(i, name) for i, (name, _) in enumerate(profiling.statements(SCRIPT), 1)], "position int, statement string")
+
+
+@query("SELECT 1 AS position, 'create sc_orders' AS step, 0 AS rows_out UNION ALL SELECT 2, 'select', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 3, 'select', 1")
+def script_profile(t):
+    t.orders.createOrReplaceTempView("sc_source")
+    profile = profiling.Profile()
+    profile.script(t.spark, SCRIPT.format(orders="sc_source"))
+    table = profile.table()
+    if sum(r[-1] for r in table) != 1 or any(r[1] < 0 for r in table):
+        raise ValueError("one step is the bottleneck")
+    return inline_values(t.spark, [(i, r[0], r[4]) for i, r in enumerate(table, 1)], "position int, step string, rows_out long")
+
+
+@query("SELECT 'filter then count' AS form, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'count if', count(*) FROM orders WHERE o_orderstatus = 'F'")
+def benchmark_forms(t):
+    forms = {"filter then count": lambda: t.orders.where("o_orderstatus = 'F'").agg(F.count("*").alias("n")), "count if": lambda: t.orders.agg(F.count_if(F.col("o_orderstatus") == "F").alias("n"))}
+    timed = profiling.compare(forms, repeats=1)
+    return relational.reduce(DataFrame.unionByName, (forms[n]().select(F.lit(n).alias("form"), "n") for n in timed))
+
+
+@query("""SELECT 'columns' AS scan, b AS bytes, greatest(b, 10485760) AS billed FROM (SELECT 8 * count(o_orderkey) + 8 * count(o_totalprice) AS b FROM orders)
+  UNION ALL SELECT 'all', b, greatest(b, 10485760) FROM (SELECT 8 * count(o_orderkey) + 8 * count(o_totalprice) + 8 * count(o_custkey) + CAST(sum(2 + strlen(o_orderstatus)) AS BIGINT) AS b FROM orders)""")
+def scan_estimate(t):
+    return cost.estimate(t.orders.select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus"), ["o_orderkey", "o_totalprice"]).select("scan", "bytes", "billed")
+
+
+@query("SELECT * FROM (VALUES (512, '512 B'), (2048, '2.00 KB'), (5604157, '5.34 MB'), (1899000000000, '1.73 TB')) AS v(n, shown)")
+def human_sizes(t):
+    return inline_values(t.spark, [(n, cost.human_bytes(n)) for n in (512, 2048, 5604157, 1899000000000)], "n long, shown string")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_events(t):
+    """Two files that arrive, loaded by a stream in two batches, counted by the hour."""
+    folder, w = _scratch(t, "arriving"), _warehouse(t, "streamed")
+    schema = t.events.select("event_id", "ts", "event_type").schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    w.create("events", ddl)
+    t.events.select(*schema.names).repartition(2, "event_id").write.parquet(folder)
+    for _ in range(2):  # the second call finds nothing new
+        drain(t.spark, folder, ddl, lambda df, _: w.append("events", df), f"{folder}-offsets", "parquet")
+    return windowed_counts(w.read("events"), "ts", "event_type")
+
+
+# The census warehouse, on rows made from customers -------------------------------------
+
+SQL_CENSUS = """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 20 = 0 THEN 'abc' WHEN c_custkey % 20 = 1 THEN '201' WHEN c_custkey % 11 = 0 THEN '90' ELSE CAST(17 + c_custkey % 60 AS VARCHAR) END AS age,
+  CASE WHEN c_custkey % 9 = 0 THEN '-5' ELSE CAST(1000 + c_custkey AS VARCHAR) END AS fnlwgt, CASE WHEN c_custkey % 7 = 0 THEN '?' ELSE 'Sales' END AS occupation, row_number() OVER (ORDER BY c_custkey) AS source_row FROM customer),
+  loaded AS (SELECT * FROM c WHERE k % 20 > 1 AND k % 9 <> 0) """
+_loaded: dict[tuple[int, str], Census] = {}
+
+
+def _census(t: Tables) -> Census:
+    """One load for all queries of a session and folder."""
+    key = (id(t.spark), t.folder)
+    if key not in _loaded:
+        k = F.col("c_custkey")
+        made = {
+            "age": F.when(k % 20 == 0, "abc").when(k % 20 == 1, "201").when(k % 11 == 0, "90").otherwise((17 + k % 60).cast("string")), "workclass": F.lit("Private"), "fnlwgt": F.when(k % 9 == 0, "-5").otherwise((1000 + k).cast("string")),
+            "education": F.lit("Bachelors"), "education.num": F.lit("13"), "marital.status": F.lit("Divorced"), "occupation": F.when(k % 7 == 0, "?").otherwise("Sales"), "relationship": F.lit("Husband"), "race": F.lit("White"), "sex": F.lit("Male"),
+            "capital.gain": F.lit("0"), "capital.loss": F.lit("0"), "hours.per.week": F.lit("40"), "native.country": F.lit("Cuba"), "income": F.lit("<=50K"),
+        }
+        path = f"{_scratch(t, 'census')}.csv"
+        write_csv(t.customer.repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey").select(*(v.alias(c) for c, v in made.items())), path)
+        census = Census(t.spark, _scratch(t, "census-warehouse"))
+        census.ingest_file(path)
+        _loaded[key] = census
+    return _loaded[key]
+
+
+@query(SQL_CENSUS + "SELECT 'ok' AS status, (SELECT count(*) FROM c) AS rows_read, (SELECT count(*) FROM c) AS rows_staged, (SELECT count(*) FROM c) - (SELECT count(*) FROM loaded) AS rows_rejected, (SELECT count(*) FROM loaded) AS rows_loaded, 0 AS rows_already_present")
+def census_runs(t):
+    return _census(t).runs().select("status", "rows_read", "rows_staged", "rows_rejected", "rows_loaded", "rows_already_present")
+
+
+@query(SQL_CENSUS + """SELECT 'age_not_an_integer' AS reason, count(*) AS n FROM c WHERE age = 'abc' UNION ALL SELECT 'age_out_of_range', count(*) FROM c WHERE age = '201'
+  UNION ALL SELECT 'fnlwgt_not_a_positive_integer', count(*) FROM c WHERE fnlwgt = '-5'""")
+def census_reasons(t):
+    return _census(t).store.read("load_reject").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('No high school diploma', 8, 1, 8), ('High school graduate', 1, 9, 9), ('Some college', 1, 10, 10), ('Associate degree', 2, 11, 12), ('Bachelors degree', 1, 13, 13), ('Postgraduate', 3, 14, 16)) AS v(education_group, n, lo, hi)")
+def census_ladder(t):
+    return _census(t).store.read("dim_education").groupBy("education_group").agg(F.count("*").alias("n"), F.min("education_num").alias("lo"), F.max("education_num").alias("hi"))
+
+
+@query(SQL_CENSUS + "SELECT source_row, CASE WHEN age = '90' THEN NULL ELSE CAST(age AS SMALLINT) END AS age, age = '90' AS age_is_topcoded, occupation, row_number() OVER (ORDER BY source_row) AS person_sk FROM loaded")
+def census_facts(t):
+    """Typed, censored, keyed and numbered rows, with the label of their occupation."""
+    census = _census(t)
+    labels = census.store.read("dim_occupation").select("occupation_sk", F.when(F.col("is_unknown"), "?").otherwise(F.col("occupation")).alias("occupation"))
+    return census.store.read("fact_person").join(labels, "occupation_sk").select("source_row", "age", "age_is_topcoded", "occupation", "person_sk")
+
+
+@query(SQL_CENSUS + "SELECT source_row, age AS raw_age, fnlwgt AS raw_fnlwgt FROM loaded")
+def census_raw_rows(t):
+    census = _census(t)
+    name = census.store.read("fact_person").select("source_file").first()[0]
+    return census.raw_rows(name).select("source_row", F.col("age").alias("raw_age"), F.col("fnlwgt").alias("raw_fnlwgt"))
+
+
+@query(SQL_CENSUS + """SELECT 'fact_person' AS table_name, count(*) AS n_rows FROM loaded UNION ALL SELECT 'stg_adult', count(*) FROM c
+  UNION ALL SELECT 'load_reject', count(*) FILTER (WHERE k % 20 <= 1) + count(*) FILTER (WHERE k % 9 = 0) FROM c UNION ALL SELECT 'quarantine', count(*) FILTER (WHERE k % 20 <= 1) + count(*) FILTER (WHERE k % 9 = 0) FROM c
+  UNION ALL SELECT 'load_event', 2 UNION ALL SELECT 'feature_person', count(*) FROM loaded""")
+def census_sizes(t):
+    return _census(t).store.counts().where(F.col("table_name").isin("fact_person", "stg_adult", "load_reject", "quarantine", "load_event", "feature_person"))
+
+
+@query("SELECT 'fresh' AS state, TRUE AS recent")
+def census_freshness(t):
+    return _census(t).freshness().select("state", (F.col("hours") < 1).alias("recent"))
+
+
+@query(SQL_CENSUS + "SELECT count(*) AS pool, count(*) FILTER (WHERE occupation <> '?') AS answered FROM loaded WHERE age <> '90' AND CAST(age AS INTEGER) BETWEEN 25 AND 54")
+def census_pool(t):
+    rows = _census(t).pool_breakdown()
+    pool = F.max(F.when(F.col("measure") == "eligible pool", F.col("records")))
+    unanswered = F.max(F.when(F.col("measure") == "of those, occupation not answered", F.col("records")))
+    return rows.agg(pool.alias("pool"), (pool - unanswered).alias("answered"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions import content_hash, freshness_state, hours_between, lenient_int, record_key, round_to_int
 from sparkwright.operators import dims, facts, features, keys, quality, rules, serve
-from sparkwright.operators.relational import labelled_counts
-from sparkwright.sources import Warehouse, csv_text, fingerprint, name_sorted, numbered_lines
+from sparkwright.operators.relational import counted
+from sparkwright.sources import Warehouse, csv_text, dashboard, fingerprint, name_sorted, numbered_lines
 
 # Source columns in file order and their staged names.
 COLUMNS = {
@@ -210,7 +210,7 @@ class Census:
 
     def pool_breakdown(self) -> DataFrame:
         pool = self.analytic("occupation").where(POOL)
-        return labelled_counts([("eligible pool", pool), ("of those, occupation not answered", pool.where("occupation_unknown")), ("of those, no occupation to record", pool.where("occupation_not_applicable"))])
+        return counted(pool, {"eligible pool": F.lit(True), "of those, occupation not answered": F.col("occupation_unknown"), "of those, no occupation to record": F.col("occupation_not_applicable")})
 
     def sentinel_impact(self) -> DataFrame:
         rows = self.analytic("occupation").where("not occupation_unknown and not occupation_not_applicable")
@@ -288,6 +288,19 @@ class Census:
     def reject_report(self) -> DataFrame:
         return rules.reject_report(self.store.read("load_reject"))
 
+    def raw_rows(self, source_file: str) -> DataFrame:
+        """Facts of one file beside their staged rows, by line number: a line number is a
+        key only together with its file and run."""
+        fact = self.store.read("fact_person").where(F.col("source_file") == source_file).select("person_sk", "load_run_id", "source_row")
+        staged = self.store.read("stg_adult").where(F.col("source_file") == source_file).select("load_run_id", "source_row", *COLUMNS.values())
+        return fact.join(staged, ["load_run_id", "source_row"])
+
+    def page(self) -> str:
+        """The allocation mart as a dashboard page."""
+        mart = serve.flag_labels(self.store.read("mart_segment_allocation").withColumnRenamed("occupation_is_assignable", "is_assignable")).orderBy(F.desc("candidates"), "occupation", "education_group")
+        tiles, fresh = serve.tiles(mart).first().asDict(), self.freshness().first()
+        return dashboard(mart.drop("refreshed_at"), "Segment allocation", ["occupation", "education_group"], list(tiles.items()), fresh["state"], fresh["hours"], ("mean_hours", "mean_capital_gain"))
+
     def lineage(self, limit: int = 3) -> DataFrame:
         fact = self.store.read("fact_person").where("capital_gain_is_topcoded or hours_per_week_is_topcoded or age_is_topcoded or duplicate_group_id is not null").select("person_sk", "record_key", "load_run_id", "source_file", "source_row")
         staged = self.store.read("stg_adult").select("record_key", *(F.col(c).alias(f"raw_{c}") for c in ("age", "hours_per_week", "capital_gain")))

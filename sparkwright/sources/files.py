@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -29,14 +31,16 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Written beside and renamed, so that readers see the old or the new text."""
-        aside = self._path(f"{path}.new")
+    def write_new(self, path: str, text: str) -> None:
+        """A file that is not there yet: written beside and renamed, so that readers see
+        none or all of it. Fails if another writer was first."""
+        aside = self._path(f"{path}.{uuid.uuid4().hex}")
         stream = self._fs.create(aside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self._fs.delete(self._path(path), False)
-        self._fs.rename(aside, self._path(path))
+        if self.exists(path) or not self._fs.rename(aside, self._path(path)):
+            self._fs.delete(aside, False)
+            raise FileExistsError(path)
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
