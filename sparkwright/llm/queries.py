@@ -12,7 +12,8 @@ from sparkwright.llm.shared import read_table
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkwright.llm.minhash import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +93,31 @@ QUERIES = {
 }
 
 #: Where SQL can state the whole result. The others need models, seeded draws,
-#: transducers, files or searches over components, and are tested by brute force.
+#: transducers or files, and are tested by brute force.
 ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), g AS MATERIALIZED (SELECT DISTINCT r, unnest(list_zip(w[1:greatest(len(w) - 1, 1)], w[2:])) AS gram FROM d),
+        often AS (SELECT gram, row_number() OVER (ORDER BY count(*), gram) AS tok FROM g GROUP BY gram),
+        sized AS MATERIALIZED (SELECT r, list(tok ORDER BY tok) AS toks, count(*) AS n FROM g JOIN often USING (gram) GROUP BY r),
+        rep AS MATERIALIZED (SELECT toks, min(r) AS rep, min(doc_id) AS least FROM sized JOIN d USING (r) WHERE doc_id IS NOT NULL GROUP BY toks),
+        part AS MATERIALIZED (SELECT rep, len(toks) AS n, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM rep),
+        head AS (SELECT * FROM part WHERE 100 * (n - pos + 1) >= 80 * n),
+        pair AS (
+            SELECT DISTINCT x.rep AS a, y.rep AS b, x.n + y.n AS total
+            FROM head x JOIN head y ON x.tok = y.tok AND x.rep < y.rep AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+        ), link AS MATERIALIZED (
+            SELECT a, b FROM pair JOIN part x ON x.rep = a JOIN part y ON y.rep = b AND y.tok = x.tok
+            GROUP BY a, b, total HAVING 100 * count(*) >= 80 * (total - count(*))
+        ), side AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT rep AS a, rep AS b FROM rep UNION SELECT reach.a, side.b FROM reach JOIN side ON side.a = reach.b),
+        component AS (SELECT reach.a AS rep, min(o.least) AS component FROM reach JOIN rep o ON o.rep = reach.b GROUP BY reach.a)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
+            d.doc_id IS NOT DISTINCT FROM coalesce(c.component, d.doc_id) AS kept
+        FROM d LEFT JOIN sized s USING (r) LEFT JOIN rep ON rep.toks = s.toks AND d.doc_id IS NOT NULL LEFT JOIN component c ON c.rep = rep.rep""",
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings

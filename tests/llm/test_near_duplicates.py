@@ -113,3 +113,22 @@ def test_word_boundaries_across_rows():
     data = np.frombuffer("ab c".encode() + "d".encode() + b" " + "é\u00a0f g".encode(), np.uint8)
     words = Words(data, np.array([0, 4, 4, 5, 6, len(data)]))
     assert words.count.tolist() == [2, 0, 1, 0, 2]
+
+
+def test_query_equals_its_sql(spark, data, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sparkwright.llm import queries
+
+    base = " ".join(f"Word{i}" for i in range(60))
+    texts = [base, base.lower(), base + " more", "", None, " \t\n", "one", "ONE", "one two", "Été one", base, base + " and more", "x " * 50, "x x"]
+    ids = [*range(len(texts) - 2, 0, -1), None, 3]
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    for folder in (str(tmp_path), data):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+        want = con.execute(queries.ORACLES["op1_minhash_near_dedup"]).fetchall()
+        found = [tuple(r) for r in queries.op1_minhash_near_dedup(spark, folder).collect()]
+        assert sorted(found, key=repr) == sorted(want, key=repr)
