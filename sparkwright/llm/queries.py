@@ -118,6 +118,43 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
             d.doc_id IS NOT DISTINCT FROM coalesce(c.component, d.doc_id) AS kept
         FROM d LEFT JOIN sized s USING (r) LEFT JOIN rep ON rep.toks = s.toks AND d.doc_id IS NOT NULL LEFT JOIN component c ON c.rep = rep.rep""",
+    "op5_sharding": """
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tbl
+            FROM range(256) t(i)
+        ), d AS MATERIALIZED (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+                xor(4294967295, list_reduce(
+                    list_prepend(4294967295, [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]),
+                    lambda c, b: xor(c >> 8, tbl[xor(c & 255, b) + 1])
+                )) AS text_crc32
+            FROM documents, crc
+        ), numbered AS MATERIALIZED (
+            SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS r FROM d
+        ), p AS (
+            SELECT count(*) AS n, CAST(greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2) AS INTEGER) AS half FROM numbered
+        ), seeds AS (
+            SELECT k, CAST(((k + 1)::UHUGEINT + 17::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS w FROM range(6) t(k)
+        ), keys AS MATERIALIZED (
+            SELECT k, xor(y, y >> 31) AS key
+            FROM (SELECT *, CAST(xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS y
+            FROM (SELECT *, CAST(xor(w, w >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS x FROM seeds))
+        ), walk AS (
+            SELECT r, CAST(r >> half AS UBIGINT) AS a, CAST(r & ((1::BIGINT << half) - 1) AS UBIGINT) AS b, 0 AS step, n, half, FALSE AS done
+            FROM numbered, p
+            UNION ALL
+            SELECT r, b, c, step + 1, n, half, (step + 1) % 6 = 0 AND (b << half) + c < n
+            FROM (
+                SELECT *, CAST(xor(a, xor(y, y >> 31) & ((1::UBIGINT << half) - 1)) AS UBIGINT) AS c
+                FROM (SELECT *, CAST(xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS y
+                FROM (SELECT *, CAST(xor(w, w >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS x
+                FROM (SELECT *, CAST((b::UHUGEINT + key::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS w
+                FROM walk JOIN keys ON keys.k = walk.step % 6 WHERE NOT done)))
+            )
+        )
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(((a << half) + b) % 8 AS INTEGER) AS shard,
+            CAST(((a << half) + b) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM walk JOIN numbered USING (r) WHERE done""",
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings

@@ -308,3 +308,20 @@ def test_taken_words_by_brute_force(spark):
         target = got[of[0]]["target"]
         assert all(got[i]["source_size"] == total and got[i]["taken"] <= 2 * sizes[i] for i in of)
         assert target <= 2 * total and abs(taken - target) <= 2 + 2 * target / mixing.PART, (source, weight, taken, target)
+
+
+def test_shards_equal_their_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sparkwright.llm import queries
+
+    rows = [(i, "naïve " * (i % 7) + str(i % 5)) for i in range(150)] + [(3, "again"), (3, "again"), (None, "no id"), (7, None), (8, "")]
+    for count in (len(rows), 1, 0):
+        pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows[:count]], pa.int64()), "text": pa.array([r[1] for r in rows[:count]], pa.string())}), tmp_path / "documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+        want = con.execute(queries.ORACLES["op5_sharding"]).fetchall()
+        found = [tuple(r) for r in queries.op5_sharding(spark, str(tmp_path)).collect()]
+        assert len(want) == count and sorted(found, key=repr) == sorted(want, key=repr)
