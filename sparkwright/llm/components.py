@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import discard, materialise
+from sparkwright.llm.shared import discard, materialise, spread_join, with_parts
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -28,14 +28,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not _stars_only(at):
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = _least(both)
-        large = both.join(m, both["u"] == m["node"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ends, total = both.groupBy("u").agg(F.count("*").alias("k")), 2 * at.count()
+        both, hubs = with_parts(both, "u", ends, total)
+        smallest = m.select(F.col("node").alias("u"), "m").join(F.broadcast(hubs), "u", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        large = spread_join(both, smallest, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         # Small star: edges (u, v) with v < u; all smaller neighbours of u and u itself to the smallest.
         n = _least(large)
         small = large.join(n, large["u"] == n["node"])
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         before, at = at, materialise(small.where("u != v").distinct(), "cc")
-        discard(before)
+        discard(before, hubs)
     members = at.select(F.col("u").alias("node"), F.col("v").alias("component"))
     labels = materialise(members.union(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
     discard(at)
@@ -57,8 +60,11 @@ def extend_components(labels: DataFrame, links: DataFrame, a: str, b: str) -> Da
     contracted = links.select(a, b).join(of(a), a, "left").join(of(b), b, "left")
     contracted = contracted.select(F.coalesce(f"c_{a}", a).alias("a"), F.coalesce(f"c_{b}", b).alias("b"))
     top = connected_components(contracted, "a", "b")
-    nodes = labels.union(top.select("node", F.col("node").alias("component"))).distinct()
+    nodes = materialise(labels.union(top.select("node", F.col("node").alias("component"))).distinct(), "nodes")
     over = top.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    out = materialise(nodes.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-    discard(top)
+    counts, total = nodes.groupBy("component").agg(F.count("*").alias("k")), nodes.count()
+    nodes_in_parts, large = with_parts(nodes, "component", counts, total)
+    over = over.join(F.broadcast(large), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    out = materialise(spread_join(nodes_in_parts, over, "component", "node", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    discard(top, nodes, large)
     return out

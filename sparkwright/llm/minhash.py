@@ -14,7 +14,8 @@ anew, to members of other components. What stays mixed after that goes through a
 exact prefix join, so that no link in a bucket depends on the choice of centres.
 
 Equal shingle sets are folded into one representative first, so that copies, how
-many there may be, cost one row each and no edges.
+many there may be, cost one row each and no edges. Joins on buckets, shingles, edge
+ends and equal sets cut each heavy key into parts, so that no task holds a hot group.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm.components import connected_components, extend_components
-from sparkwright.llm.shared import arrow_map, discard, materialise, mix64, runs, strings
+from sparkwright.llm.shared import arrow_map, discard, in_parts, materialise, mix64, runs, spread_join, strings, with_parts
 from sparkwright.llm.wordhash import Words
 
 #: 40 bands of 5 rows: a pair at similarity 0.8 shares no bucket with probability 1.2e-7.
@@ -135,7 +136,8 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) with 100 * intersection >= percent * union."""
+    """The edges (a, b) of a materialised table with 100 * intersection >= percent *
+    union, materialised. A centre may have any number of edges."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
 
@@ -149,8 +151,15 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep.append(100 * common >= percent * (len(p) + len(q) - common))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return arrow_map(pairs, rows, "a long, b long")
+    pairs, total, hubs = edges, edges.count(), []
+    for end, other, side in (("a", "b", left), ("b", "a", right)):
+        pairs, hot = with_parts(pairs, end, edges.groupBy(end).agg(F.count("*").alias("k")), total)
+        side = side.join(F.broadcast(hot), end, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        pairs = spread_join(pairs, side, end, other).drop("parts")
+        hubs.append(hot)
+    out = materialise(arrow_map(pairs.select("a", "b", "set_a", "set_b"), rows, "a long, b long"), "links")
+    discard(*hubs)
+    return out
 
 
 def _stars(members: DataFrame, percent: int, centres: int, seed: int) -> DataFrame:
@@ -159,28 +168,25 @@ def _stars(members: DataFrame, percent: int, centres: int, seed: int) -> DataFra
     h = F.xxhash64("id", "bucket", F.lit(seed))
     drawn = (
         members.groupBy("bucket", F.pmod(h, F.lit(centres)).alias("cell"))
-        .agg(F.min(F.struct(h.alias("h"), "id", "n", "comp")).alias("c"))
-        .select("bucket", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.comp").alias("c_comp"))
+        .agg(F.min(F.struct(h.alias("h"), "id", "n", "comp")).alias("c"), F.max("parts").alias("parts"))
+        .select("bucket", "parts", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.comp").alias("c_comp"))
     )
     fits = (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & (F.col("comp") != F.col("c_comp"))
-    return (
-        members.alias("m").join(drawn.alias("d"), (F.col("m.bucket") == F.col("d.bucket")) & fits)
-        .select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b"))
-        .distinct()
-    )
+    pairs = spread_join(members, drawn, "bucket", "id").where(fits)
+    return pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their components by now, of the buckets that hold more than
     one component. A bucket of two has been compared in full by its first star."""
     at = members.drop("comp").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    at = materialise(at.select("bucket", "id", "n", F.coalesce("component", "id").alias("comp")), "labelled")
+    at = materialise(at.select("bucket", "parts", "id", "n", F.coalesce("component", "id").alias("comp")), "labelled")
     mixed = (
-        at.groupBy("bucket", F.pmod("id", F.lit(16)).alias("cell")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-        .groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("k").alias("k"))
-        .where("lo < hi and k > 2").select("bucket")
+        at.groupBy("bucket", F.pmod("id", F.lit(16)).alias("cell")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.max("parts").alias("parts"))
+        .groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("k").alias("k"), F.max("parts").alias("parts"))
+        .where("lo < hi and k > 2").select("bucket", "parts")
     )
-    out = materialise(at.join(mixed, "bucket"), "mixed")
+    out = materialise(spread_join(at, mixed, "bucket", "id"), "mixed")
     discard(at)
     return out
 
@@ -205,24 +211,24 @@ def _residual(active: DataFrame, sets: DataFrame, percent: int, spent: list[Data
         )
 
     toks = materialise(arrow_map(who.join(sets, "id").select("id", "n", "comp", "set"), rows, "id long, n long, comp long, tok long"), "tokens")
-    often = toks.groupBy("tok").agg(F.count("*").alias("df"))
+    total = toks.count()
+    often = materialise(toks.groupBy("tok").agg(F.count("*").alias("df")).withColumn("parts", in_parts("df", total)), "often")
+    dealt, common = with_parts(toks, "tok", often.select("tok", F.col("df").alias("k")), total)
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "tok")) - 1
-    entries = toks.join(often, "tok").withColumn("pos", place).where((100 * (F.col("n") - F.col("pos")) >= percent * F.col("n")) & (F.col("df") > 1))
-    entries = materialise(entries.select("tok", "id", "n", "comp", "pos"), "prefixes")
+    entries = spread_join(dealt, often, "tok", "id").withColumn("pos", place).where((100 * (F.col("n") - F.col("pos")) >= percent * F.col("n")) & (F.col("df") > 1))
+    entries = materialise(entries.select("tok", "parts", "id", "n", "comp", "pos"), "prefixes")
     main = (
-        entries.groupBy("tok", "comp").agg(F.count("*").alias("k"))
-        .groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"))
-        .where("comps > 1").select("tok", F.col("m.comp").alias("main"))
+        entries.groupBy("tok", "parts", "comp").agg(F.count("*").alias("k"))
+        .groupBy("tok", "parts").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"))
+        .where("comps > 1").select("tok", "parts", F.col("m.comp").alias("main"))
     )
-    outside = materialise(entries.join(main, "tok").where("comp != main"), "outside")
-    spent += [toks, entries, outside]
-    left = outside.select("tok", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "comp", "pos")))
+    outside = materialise(spread_join(entries, main, "tok", "id").where("comp != main"), "outside")
+    spent += [toks, often, common, entries, outside]
+    left = outside.select("tok", "parts", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "comp", "pos")))
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n") - F.col("pos"))
     fits = (F.col("comp") != F.col("comp_x")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("n_x")))
-    return (
-        left.alias("l").join(entries.alias("r"), (F.col("l.tok") == F.col("r.tok")) & fits)
-        .select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
-    )
+    pairs = spread_join(entries, left, "tok", "id").where(fits)
+    return pairs.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -244,49 +250,56 @@ def near_duplicates(
     # Rows are numbered once, as they are written; a set goes by the least row that has it.
     sketch = materialise(sketches(source, shingle).withColumn("row", F.monotonically_increasing_id()), "sketch")
     usable = sketch.where("set_key is not null and id is not null")
-    reps = materialise(usable.groupBy("set_key").agg(F.min("row").alias("rep"), F.min("id").alias("least")), "reps")
+    reps = materialise(usable.groupBy("set_key").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies")), "reps")
     told = usable.join(reps.select("rep"), usable["row"] == F.col("rep")).select(F.col("row").alias("id"), "n", "bands")
     exploded = told.select("id", "n", F.explode("bands").alias("bucket"))
     shared = (
-        exploded.groupBy("bucket", F.pmod("id", F.lit(16)).alias("cell")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        .groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("bucket")
+        exploded.groupBy("bucket", F.pmod("id", F.lit(16)).alias("cell")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k"))
+        .groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("k").alias("k")).where("lo < hi").select("bucket", "k")
     )
-    members = materialise(exploded.join(shared, "bucket").withColumn("comp", F.col("id")), "members")
+    shared = materialise(shared, "shared")
+    total = shared.agg(F.sum("k")).first()[0] or 0
+    dealt, hot = with_parts(exploded, "bucket", shared, total)
+    buckets = shared.select("bucket", in_parts("k", total).alias("parts"))
+    members = materialise(spread_join(dealt, buckets, "bucket", "id").withColumn("comp", F.col("id")), "members")
     wanted = usable.join(members.select(F.col("id").alias("rep")).distinct(), usable["row"] == F.col("rep")).select("id", "text_hash", "rep")
     texts = source.join(wanted, ["id", "text_hash"]).select(F.col("rep").alias("id"), "text")
     sets = materialise(full_sets(texts, shingle).dropDuplicates(["id"]), "sets")
 
     first = materialise(_stars(members, percent, 1, 0), "edges")
-    links = materialise(confirm(first, sets, percent), "links")
+    links = confirm(first, sets, percent)
     labels = connected_components(links, "a", "b")
     active = _mixed(members, labels)
-    spent = [members, sets, first, links, active]
+    spent = [shared, hot, members, sets, first, links, active]
     if not active.isEmpty():
         fresh = materialise(_stars(active, percent, centres, 1).join(first, ["a", "b"], "left_anti"), "edges")
-        more = materialise(confirm(fresh, sets, percent), "links")
+        more = confirm(fresh, sets, percent)
         spent += [fresh, more, labels]
         labels = extend_components(labels, more, "a", "b")
         active = _mixed(active, labels)
         spent.append(active)
         if not active.isEmpty():
             rest = materialise(_residual(active, sets, percent, spent).join(first.union(fresh), ["a", "b"], "left_anti"), "rest")
-            more = materialise(confirm(rest, sets, percent), "links")
+            more = confirm(rest, sets, percent)
             spent += [rest, more]
             if not more.isEmpty():
                 spent.append(labels)
                 labels = extend_components(labels, more, "a", "b")
-    rooted = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_key", "least", F.coalesce("component", "rep").alias("group"))
-    named = rooted.groupBy("group").agg(F.min("least").alias("component"))
-    component = materialise(rooted.join(named, "group").select("set_key", "group", "component"), "component")
-    discard(*spent, labels, reps)
-    return (
-        sketch.select("id", "n", "set_key", "text_hash")
-        .join(component, (sketch["set_key"] == component["set_key"]) & F.col("id").isNotNull(), "left")
-        .select(
-            F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-            F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), "group", "text_hash",
-        )
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    rooted = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_key", "least", "copies", F.coalesce("component", "rep").alias("group"))
+    named = materialise(rooted.groupBy("group").agg(F.min("least").alias("component"), F.count("*").alias("k")), "named")
+    total = reps.count()
+    dealt, large = with_parts(rooted, "group", named.select("group", "k"), total)
+    component = spread_join(dealt, named.select("group", "component", in_parts("k", total).alias("parts")), "group", "set_key")
+    total = reps.agg(F.sum("copies")).first()[0] or 0
+    component = materialise(component.select("set_key", "group", "component", in_parts("copies", total).alias("parts")), "component")
+    dealt, _ = with_parts(sketch.where("set_key is not null and id is not null"), "set_key", reps.select("set_key", F.col("copies").alias("k")), total)
+    discard(*spent, labels, named, large, reps)
+    rows = ["id", "n", "group", "component", "text_hash"]
+    joined = spread_join(dealt, component, "set_key", "row").select(*rows)
+    alone = sketch.where("set_key is null or id is null").select("id", "n", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"), "text_hash")
+    return joined.union(alone.select(*rows)).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "group", "text_hash",
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
 
 

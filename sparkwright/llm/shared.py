@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
+#: A key with more than this part of the rows of a table is heavy.
+HEAVY = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +54,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_parts(k: str, total: int) -> Column:
+    """Into how many parts of at most about a ``HEAVY``-th of all rows to cut a key with
+    ``k`` of the ``total`` rows: 1 for all keys but fewer than ``HEAVY`` heavy ones."""
+    return F.greatest(F.lit(1), F.ceil(F.col(k) * HEAVY / F.lit(max(total, 1)))).cast("int")
+
+
+def with_parts(table: DataFrame, key: str, counts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """``table`` with the parts of each row's key, and the table of heavy keys that this
+    reads: of ``counts`` (key, k: its rows of ``total``) fewer than ``HEAVY``, at any
+    size, so they may be broadcast."""
+    hot = materialise(counts.where(F.col("k") * HEAVY > total).select(key, in_parts("k", total).alias("parts")), "heavy")
+    return table.join(F.broadcast(hot), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))), hot
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join on ``key`` of tables that both carry ``parts``, the same for a key: the rows
+    of ``big`` are dealt over the parts of their key by a hash of ``by``, rows of
+    ``small`` go to each. The result keeps the parts."""
+    left = big.withColumn("part", F.pmod(F.xxhash64(by), "parts").cast("int"))
+    right = small.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.join(right, [key, "part"], how).drop("part")
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
