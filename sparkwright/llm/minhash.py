@@ -292,9 +292,10 @@ def near_duplicates(
     component = spread_join(dealt, named.select("group", "component", in_parts("k", total).alias("parts")), "group", "set_key")
     total = reps.agg(F.sum("copies")).first()[0] or 0
     component = materialise(component.select("set_key", "group", "component", in_parts("copies", total).alias("parts")), "component")
-    dealt, _ = with_parts(sketch.where("set_key is not null and id is not null"), "set_key", reps.select("set_key", F.col("copies").alias("k")), total)
     discard(*spent, labels, named, large, reps)
     rows = ["id", "n", "group", "component", "text_hash"]
+    hot = F.broadcast(component.where("parts > 1").select("set_key", "parts"))
+    dealt = sketch.where("set_key is not null and id is not null").join(hot, "set_key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     joined = spread_join(dealt, component, "set_key", "row").select(*rows)
     alone = sketch.where("set_key is null or id is null").select("id", "n", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"), "text_hash")
     return joined.union(alone.select(*rows)).select(
